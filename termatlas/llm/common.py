@@ -165,7 +165,7 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
             near = df.select("u", "v").union(df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             near = df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         both = near.join(least, "u")
         if large:
             out = both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
