@@ -68,7 +68,7 @@ def map_arrow(
     def run(batches):
         for cols in f(batches):
             arrays = [
-                c if isinstance(c, pa.Array) and c.type == t.type else pa.array(c, type=t.type)
+                (c if c.type == t.type else c.cast(t.type)) if isinstance(c, pa.Array) else pa.array(c, type=t.type)
                 for t, c in ((t, cols[t.name]) for t in target)
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)

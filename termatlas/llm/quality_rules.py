@@ -18,12 +18,12 @@ from .common import Workspace, as_bytes, map_arrow, slices
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
-#: 1 for ASCII letters and for the first byte of any other character.
-LETTER = np.array([chr(b).isalpha() if b < 128 else b >= 0xC0 for b in range(256)], dtype=np.int64)
+#: 1 for ASCII letters and digits and for the first byte of any other character.
+ALNUM = np.array([chr(b).isalnum() if b < 128 else b >= 0xC0 for b in range(256)], dtype=np.int64)
 
 FEATURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,"
-    " n_letters long, n_upper long, n_lines long, n_distinct long, n_plain long"
+    " n_alnum long, n_upper long, n_lines long, n_distinct long, n_plain long"
 )
 
 
@@ -59,7 +59,7 @@ def count_text(raw: bytes) -> tuple:
     ids = np.fromiter((order.setdefault(w, len(order)) for w in words), dtype=np.int64, count=len(words))
     lines = [x for x in raw.split(b"\n") if x.strip(SPACE)]
     own, low = np.frombuffer(raw, np.uint8), np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)
-    letters = int(LETTER[own].sum())
+    alnum = int(ALNUM[own].sum())
     n_upper = int((own != low).sum()) if own.size == low.size else sum(map(str.isupper, text))
     plain = sum(w.isalpha() for w in text.split())
     return (
@@ -68,7 +68,7 @@ def count_text(raw: bytes) -> tuple:
         len(raw) - len(raw.translate(None, SYMBOLS)),
         len(lines) - len(set(lines)),
         repeated_words(ids) if len(order) < len(words) else 0,
-        letters,
+        alnum,
         n_upper,
         len(lines),
         len(order),
@@ -99,7 +99,7 @@ def rule_votes() -> dict[str, Column]:
     """The rules; every one of them may abstain."""
     n = F.greatest(F.col("n_words"), F.lit(1))
     lines = F.greatest(F.col("n_lines"), F.lit(1))
-    letters = F.greatest(F.col("n_letters"), F.lit(1))
+    letters = F.greatest(F.col("n_alnum"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     return {
         "v_length": _vote(F.col("n_words") >= 50, F.col("n_words") < 20),
@@ -109,28 +109,28 @@ def rule_votes() -> dict[str, Column]:
         "v_repeats": _vote(F.col("n_repeat_words") * 10 < n, F.col("n_repeat_words") * 10 > 3 * n),
         "v_upper": _vote(F.col("n_upper") * 10 < letters, F.col("n_upper") * 10 > 3 * letters),
         "v_variety": _vote(F.col("n_distinct") * 3 > n, F.col("n_distinct") * 5 < n),
-        "v_plain": _vote(F.col("n_plain") * 10 > 6 * n, F.col("n_plain") * 10 < 4 * n),
-        "v_letters": _vote(F.col("n_letters") * 10 > 9 * chars, F.col("n_letters") * 10 < 7 * chars),
+        "v_plain": _vote(F.col("n_plain") * 4 > 3 * n, F.col("n_plain") * 10 < 6 * n),
+        "v_alnum": _vote(F.col("n_alnum") * 20 > 19 * chars, F.col("n_alnum") * 20 < 17 * chars),
     }
 
 
 def fit_accuracies(patterns: np.ndarray, weights: np.ndarray, prior: float = 0.8, rounds: int = 200) -> dict:
     """Expectation-maximisation over vote patterns (rows x rules of -1, 0, 1) with row weights.
 
-    Returns the log-odds of the class prior and of each vote. Accuracies have a Beta(8, 2) prior, which also
-    fixes which class is "good"; abstentions carry no evidence. With no rows the prior alone remains.
+    Returns the log-odds of the class prior and of each vote. Accuracies have Beta(19, 1) and Beta(5, 5) priors,
+    which also fix which class is "good"; abstentions carry no evidence. With no rows the prior alone remains.
     """
     rules = patterns.shape[1]
-    hit = np.full(rules, 0.8)  # P(vote good | good, votes)
-    reject = np.full(rules, 0.8)  # P(vote bad | bad, votes)
+    hit = np.full(rules, 0.95)  # P(vote good | good, votes): a good text seldom looks bad to any rule
+    reject = np.full(rules, 0.5)  # P(vote bad | bad, votes): a bad text looks bad to some rules
     good, bad = patterns == 1, patterns == -1
     share = max(weights.sum() / 1000.0, 1.0)  # prior strength follows the corpus, so that no size behaves differently
     for _ in range(rounds):
         score = math.log(prior / (1 - prior)) + good @ np.log(hit / (1 - reject)) + bad @ np.log((1 - hit) / reject)
         post = 1 / (1 + np.exp(-np.clip(score, -50, 50)))
         a, b = weights * post, weights * (1 - post)
-        new_hit = (good.T @ a + 8 * share) / ((good | bad).T @ a + 10 * share)
-        new_reject = (bad.T @ b + 8 * share) / ((good | bad).T @ b + 10 * share)
+        new_hit = (good.T @ a + 19 * share) / ((good | bad).T @ a + 20 * share)
+        new_reject = (bad.T @ b + 5 * share) / ((good | bad).T @ b + 10 * share)
         new_prior = (a.sum() + 8 * share) / (weights.sum() + 10 * share)
         moved = max(np.abs(new_hit - hit).max(), np.abs(new_reject - reject).max(), abs(new_prior - prior))
         hit, reject, prior = new_hit, new_reject, new_prior
@@ -147,7 +147,7 @@ def fit_accuracies(patterns: np.ndarray, weights: np.ndarray, prior: float = 0.8
 
 
 def score_quality(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5,
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.1,
     min_words: int = 20, max_repeat_percent: int = 30,
 ) -> DataFrame:
     """Counts, votes, posterior `p_good` and verdict `kept` for each document.
@@ -155,7 +155,8 @@ def score_quality(
     Null and empty texts have no words and fail the base rule; repeated ids give one row each; an empty
     table gives an empty result; other columns of docs are ignored, so their names cannot clash.
     A document is kept if it passes the base rule (at least `min_words` words and at most `max_repeat_percent`
-    per cent of them inside repeated 8-word windows) and its posterior is at least `threshold`.
+    per cent of them inside repeated 8-word windows) and its posterior is at least `threshold`: it goes only where the
+    rules make "bad" nine times as likely as "good", as losing a clean document costs more than keeping a poor one.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "quality")

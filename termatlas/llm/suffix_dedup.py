@@ -302,25 +302,57 @@ def remove_repeats(
     documents; every occurrence goes, judged on the input. Repeated rows repeat each other. Other columns of
     docs are ignored; an empty table gives an empty result. kept is binary, as a cut can fall inside a character.
     """
-    ws = Workspace(docs.sparkSession, "suffix")
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("th", F.xxhash64("text"))
-    spans = repeated_spans(ws, rows, span, gram, bucket)
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+
+    def finish(part: pa.RecordBatch, raws: list[bytes], cuts: list, kept: list[bytes]) -> dict:
+        return {
+            "id": part.column("id"),
+            "n_bytes": list(map(len, raws)),
+            "n_removed": [len(a) - len(b) for a, b in zip(raws, kept, strict=True)],
+            "n_spans": list(map(len, cuts)),
+            "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept],
+            "kept": kept,
+        }
+
+    return _without_repeats(rows, span, gram, bucket, schema, finish).withColumnRenamed("id", id_col)
+
+
+def cut_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, gram: int = 64, bucket: int = 1 << 16
+) -> DataFrame:
+    """docs with repeated strings cut out of the text; columns and other values as in docs.
+
+    A character that a cut splits goes as a whole. Null texts stay null.
+    """
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), others.alias("row"))
+
+    def finish(part: pa.RecordBatch, raws: list[bytes], cuts: list, kept: list[bytes]) -> dict:
+        null = part.column("text").is_null().to_pylist()
+        return {"row": part.column("row"), "text": [None if x else k.decode("utf-8", "ignore") for x, k in zip(null, kept, strict=True)]}
+
+    cut = _without_repeats(rows, span, gram, bucket, f"row {rows.schema['row'].dataType.simpleString()}, text string", finish)
+    return cut.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def _without_repeats(rows: DataFrame, span: int, gram: int, bucket: int, schema: str, finish) -> DataFrame:
+    """Apply finish(batch, texts, cuts, kept texts) to the rows (id, text, ...) joined with their spans."""
+    ws = Workspace(rows.sparkSession, "suffix")
+    keyed = rows.withColumn("th", F.xxhash64("text"))
+    spans = repeated_spans(ws, keyed.select("id", "th", "text"), span, gram, bucket)
     lists = ws.store(spans.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                out = {k: [] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
-                for raw, spans in zip(as_bytes(part.column("text")), part.column("spans").to_pylist(), strict=True):
-                    cuts = merge(np.array([(x["a"], x["b"]) for x in spans or ()], dtype=np.int64), len(raw)).tolist()
-                    ends = [0, *(b for _, b in cuts)]
-                    kept = b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in cuts), len(raw)], strict=True))
-                    for k, v in zip(out, (len(raw), len(raw) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept), strict=True):
-                        out[k].append(v)
-                yield {"id": part.column("id")} | out
-
-    joined = rows.join(lists, ["id", "th"], "left").select("id", "text", "spans")
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    return map_arrow(joined, schema, run).withColumnRenamed("id", id_col)
+                raws, cuts, kept = as_bytes(part.column("text")), [], []
+                for raw, own in zip(raws, part.column("spans").to_pylist(), strict=True):
+                    runs = merge(np.array([(x["a"], x["b"]) for x in own or ()], dtype=np.int64), len(raw)).tolist()
+                    ends = [0, *(b for _, b in runs)]
+                    kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(raw)], strict=True)))
+                    cuts.append(runs)
+                yield finish(part, raws, cuts, kept)
+
+    return map_arrow(keyed.join(lists, ["id", "th"], "left").drop("th"), schema, run)
