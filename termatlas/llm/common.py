@@ -81,6 +81,41 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+class RecentCache(dict):
+    """A bounded dict in two generations: entries used again outlive the next sweep."""
+
+    def __init__(self, make: Callable, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        return value
+
+
+def open_shared(uri: str):
+    """(filesystem, path) of a URI in the shared folder, for executors' own file formats."""
+    from pyarrow import fs
+
+    if "://" not in uri and not uri.startswith("file:"):
+        return fs.LocalFileSystem(), uri
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[len("file:"):]
+    return fs.FileSystem.from_uri(uri)
+
+
+def one_row_tasks(rows: DataFrame, by: str) -> DataFrame:
+    """Deal a small table of files to a task a row; an explicit number keeps the tasks apart."""
+    n = max(1, rows.count())
+    return rows.repartitionByRange(n, by)
+
+
 def slices(batch: pa.RecordBatch, text: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Split a batch so that each piece holds about `most` bytes of the text column (one row at least)."""
     import pyarrow.compute as pc
