@@ -190,7 +190,7 @@ def write_token_files(
                 if writer is None:
                     fs, at = open_shared(path)
                     fs.create_dir(at.rpartition("/")[0], recursive=True)
-                    out = fs.open_output_stream(at)
+                    out = fs.open_output_stream(at, compression=None)
                     writer = Writer(out, bits_for(max(enc.size, end_id + 1)), block)
                 for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
                     writer.add(i, np.frombuffer(enc.encode(text or "") + end, dtype="<u4"))
