@@ -185,7 +185,7 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of edges(u, v): alternating large-star and small-star rounds.
+    """(node, component), a row for each node of edges(u, v): alternating large-star and small-star rounds.
 
     The component is the smallest node. Edges and labels stay distributed; each round is
     written to the shared folder, and the driver only sees a two-number fingerprint of it.
@@ -218,4 +218,5 @@ def connected_components(ws: Workspace, edges: DataFrame) -> DataFrame:
         now, before, seen = after, seen, mark(after)
         if seen == before:
             break
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
