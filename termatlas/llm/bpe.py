@@ -6,8 +6,8 @@ arc v out of the state behind u, gives the arc w to every state that has the arc
 that v led to. Every token leads to one state whatever came before it, so the automaton is the relation "b may
 follow a"; written out it would have up to |V| squared arcs, so a gadget only records when its token was made, of
 what, and when which arc went, and an arc is compiled from these records when it is first needed and kept in a
-table. A word's bytes drive a second table, the suffix automaton of the vocabulary: each prefix of the word has
-exactly one last token whose arc is open. Decoding emits the arcs' labels.
+transition table. A pre-split word is encoded by walking the table along the word's bytes; decoding emits the arcs'
+labels.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import json
 from functools import lru_cache
 from itertools import chain
 
-import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -61,10 +60,18 @@ class MergeAutomaton:
                 self.cut[u * size + v] = when
             else:
                 raise ValueError(f"merge {when} ({a!r}, {b!r}) can never apply")
-        self.suffixes = ahocorasick.Automaton()
+        # labels by their bytes: (node, byte) -> node, and the token that ends at a node
+        self.steps: dict[int, int] = {}
+        self.ends = [-1]
+        self.sizes = list(map(len, self.labels))
         for i in made:
-            self.suffixes.add_word(self.labels[i].decode("latin-1"), (i, len(self.labels[i])))
-        self.suffixes.make_automaton()
+            node = 0
+            for byte in self.labels[i]:
+                key = node << 8 | byte
+                node = self.steps.get(key) or self.steps.setdefault(key, len(self.ends))
+                if node == len(self.ends):
+                    self.ends.append(-1)
+            self.ends[node] = i
 
     def _open(self, a: int, b: int, when: int) -> bool:
         """Whether the arc b leaves the state behind a once the gadgets up to `when` are in."""
@@ -91,27 +98,53 @@ class MergeAutomaton:
         return known
 
     def encode(self, word: bytes) -> list[int]:
-        """Ids of a pre-split word."""
-        n = len(word)
-        last = [-1] * (n + 1)
-        for at, (i, size) in self.suffixes.iter(word.decode("latin-1")):
-            at += 1
-            if last[at] < 0 and (at == size or (last[at - size] >= 0 and self.open(last[at - size], i))):
-                last[at] = i
-        out = []
-        while n:
-            i = last[n]
-            if i < 0:
-                raise ValueError(f"no tokenization of {word!r}")
-            out.append(i)
-            n -= len(self.labels[i])
-        return out[::-1]
+        """Ids of a pre-split word: the one path of open arcs whose labels spell it.
+
+        The walk takes the longest label with an open arc and steps back from places without any. A place is only
+        reached by the one right tokenization of what stands before it, so no place is left twice.
+        """
+        n, steps, ends, sizes, arcs, width = len(word), self.steps, self.ends, self.sizes, self.arcs, self.width
+        path: list[int] = []
+        left: list[list[int]] = []  # of each token on the path, shorter labels that were not tried
+        dead: set[int] = set()
+        at, here = 0, -1
+        choice: list[int] | None = None
+        while at < n:
+            if choice is None:
+                choice, node = [], 0
+                for byte in word[at:]:
+                    node = steps.get(node << 8 | byte)
+                    if node is None:
+                        break
+                    if ends[node] >= 0:
+                        choice.append(ends[node])
+            while choice:
+                i = choice.pop()
+                if here >= 0:
+                    known = arcs.get(here * width + i)
+                    if known is None:
+                        known = self.open(here, i)
+                    if not known:
+                        continue
+                if not dead or at + sizes[i] not in dead:
+                    path.append(i)
+                    left.append(choice)
+                    at += sizes[i]
+                    here, choice = i, None
+                    break
+            else:
+                if not path:
+                    raise ValueError(f"no tokenization of {word!r}")
+                dead.add(at)
+                at -= sizes[path.pop()]
+                here, choice = path[-1] if path else -1, left.pop()
+        return path
 
 
 class Tokenizer:
     """Whole texts to ids and back, with bounded caches of words."""
 
-    def __init__(self, path: str, cached: int = 250_000):
+    def __init__(self, path: str, cached: int = 300_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -125,14 +158,13 @@ class Tokenizer:
         for content, i in self.special.items():
             self.labels += [b""] * (i + 1 - len(self.labels))
             self.labels[i] = content.encode()
-        self.ids = list(range(len(self.labels)))  # one int object for each id
-        self.names = list(map(str, self.ids))
+        self.names = list(map(str, range(len(self.labels))))
         self.words = RecentCache(self._word, cached)
         self.first = RecentCache(lambda piece: tuple(self._plain(piece)), cached // 16)
         self.spaced = RecentCache(lambda piece: tuple(self._plain(" " + piece)), cached)
 
     def _word(self, word: str) -> tuple:
-        return tuple(self.ids[i] for i in self.automaton.encode(word.encode("utf-8", "surrogatepass")))
+        return tuple(self.automaton.encode(word.encode("utf-8", "surrogatepass")))
 
     def _plain(self, text: str) -> list[int]:
         return list(chain.from_iterable(map(self.words.__getitem__, self.split.findall(text))))

@@ -13,10 +13,13 @@ and files are numbered in that order.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -128,13 +131,22 @@ class Reader:
         return self.ids(int(self.starts[i]), int(self.starts[i + 1]))
 
 
+#: Pieces that a lower-casing, space-dropping vocabulary splits into a run of letters and a run of signs.
+PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-&(-/:-@\[-`{-~]*)")
+#: The normalizers and the pattern of such vocabulary files.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Encoder:
-    """The tokenizers library behind a cache of the pieces between spaces and line ends.
+    """The tokenizers library behind caches of words.
 
-    Vocabulary files whose pre-tokenizer drops white space never join what stands on either side of it.
+    Where the vocabulary file drops white space, nothing joins what stands on its two sides, and pieces between
+    spaces and line ends are encoded once; pieces of letters and signs share their lower-cased words. Files of any
+    other kind get whole texts.
     """
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -142,24 +154,37 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.pieces = RecentCache(self._one, cached)
-
-    def _one(self, piece: str) -> bytes:
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        steps = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        splits = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_piece = steps == NORMALIZERS and bool(splits) and splits[0].get("pattern") == {"Regex": SPLIT}
+        self.signs = {t["content"] for t in spec.get("added_tokens", [])}
+        self.pieces = RecentCache(self._piece, cached)
+        self.words = RecentCache(self._word, cached)
+        self.model = self.tokenizer.model
+
+    def _text(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        # the library's model alone: an ASCII run of letters or of signs is one pre-token, written as it is
+        if word.isascii():
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return self._text(word)
+
+    def _piece(self, piece: str) -> bytes:
+        m = PLAIN.fullmatch(piece)
+        if m is None or piece in self.signs:
+            return self._text(piece)
+        word, signs = m.groups()
+        return self.words[word.lower()] + self.words[signs] if signs else self.words[word.lower()]
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        pieces = text.replace("\n", " ").split(" ")
-        known = self.pieces
-        new = [p for p in dict.fromkeys(pieces) if p not in known and p not in known.old]
-        if len(new) > 1:
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        out = b"".join(map(known.__getitem__, pieces))
-        if len(known) > known.most:
-            known.old = dict(known)
-            known.clear()
-        return out
+        if not self.by_piece:
+            return self._text(text)
+        return b"".join(map(self.pieces.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @lru_cache(maxsize=2)
