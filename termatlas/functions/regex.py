@@ -62,7 +62,8 @@ def _boundary(pattern: str, at: int) -> str:
 def check(pattern: str) -> None:
     if UNSUPPORTED.search(pattern):
         raise ValueError(f"unsupported regex syntax: {pattern!r}")
-    if re.compile(pattern, re.I).match(""):
+    compiled = re.compile(pattern, re.I)
+    if compiled.match("") or any(m.start() == m.end() for m in compiled.finditer("a b")):
         raise ValueError(f"the pattern can match nothing: {pattern!r}")
 
 
