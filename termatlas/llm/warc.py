@@ -108,8 +108,14 @@ def write_archives(
     return ws.store(map_arrow(joined, "shard int, path string, n long", write), "archive-list")
 
 
-def read_archives(archives: DataFrame, blocks: bool = True, batch_bytes: int = 4 << 20) -> DataFrame:
-    """The records of the archives, a task for each; warcinfo is left out. blocks=False leaves the blocks empty."""
+CAPTURES = ("response", "revisit")
+
+
+def read_archives(archives: DataFrame, captures: bool, batch_bytes: int = 4 << 20) -> DataFrame:
+    """The records of the archives, a task for each; warcinfo is left out.
+
+    captures=True gives responses and revisits; else they come as heads, without fields and block, beside the rest.
+    """
 
     def read(batches):
         for batch in batches:
@@ -118,10 +124,12 @@ def read_archives(archives: DataFrame, blocks: bool = True, batch_bytes: int = 4
                 with fs.open_input_stream(at, compression=None) as stream:
                     rows, size = [], 0
                     for f, block in read_records(stream):
-                        if f["warc-type"][0] == "warcinfo":
+                        main = f["warc-type"][0] in CAPTURES
+                        if f["warc-type"][0] == "warcinfo" or captures > main:
                             continue
+                        bare = main and not captures
                         fields = [(k, v[0]) for k, v in f.items() if k not in ("warc-type", "warc-record-id", "warc-concurrent-to", "warc-target-uri", "warc-date", "content-length")]
-                        rows.append((f["warc-record-id"][0], f["warc-type"][0], f.get("warc-concurrent-to", []), f.get("warc-target-uri", [""])[0], f.get("warc-date", [""])[0], fields if blocks else [], block if blocks else b""))
+                        rows.append((f["warc-record-id"][0], f["warc-type"][0], f.get("warc-concurrent-to", []), f.get("warc-target-uri", [""])[0], f.get("warc-date", [""])[0], [] if bare else fields, b"" if bare else block))
                         size += len(rows[-1][-1]) + 500
                         if size >= batch_bytes:
                             yield dict(zip(("record_id", "type", "concurrent_to", "target", "date", "fields", "block"), zip(*rows, strict=True), strict=True))
@@ -132,12 +140,11 @@ def read_archives(archives: DataFrame, blocks: bool = True, batch_bytes: int = 4
     return map_arrow(one_row_tasks(archives, "shard").select("path"), RECORD, read)
 
 
-def transaction_keys(ws: Workspace, archives: DataFrame) -> DataFrame:
+def transaction_keys(ws: Workspace, heads: DataFrame) -> DataFrame:
     """(record_id, capture): the response or revisit that a record is concurrent to, itself for those two.
 
     Identifiers may stand on either record; one record between is bridged. Records without any capture have none.
     """
-    heads = ws.store(read_archives(archives, blocks=False).select("record_id", "type", "concurrent_to"), "heads")
     captures = heads.where("type in ('response', 'revisit')").select(F.col("record_id").alias("capture")).distinct()
     links = heads.select("record_id", F.explode("concurrent_to").alias("other"))
     links = links.union(links.select("other", "record_id")).where("record_id <> other").distinct()
@@ -155,12 +162,13 @@ def assemble(ws: Workspace, archives: DataFrame) -> DataFrame:
     requests and metadata are arrays of {record_id, target, date, fields, block} ordered by identifier, empty if
     none belongs to the capture. Requests and metadata without a capture are not captures and give no row.
     """
-    keys = transaction_keys(ws, archives)
-    records = read_archives(archives)
-    main = records.where("type in ('response', 'revisit')")
+    heads = ws.store(read_archives(archives, captures=False), "heads")
+    keys = transaction_keys(ws, heads)
+    # planned as small, like the list of archives it comes from: the hint keeps payloads from being broadcast
+    main = read_archives(archives, captures=True).hint("merge")
     part = F.struct("record_id", "target", "date", "fields", "block")
     others = (
-        records.where("type in ('request', 'metadata')").join(keys, "record_id")
+        heads.where("type in ('request', 'metadata')").join(keys, "record_id")
         .groupBy("capture")
         .agg(F.collect_list(F.when(F.col("type") == "request", part)).alias("requests"), F.collect_list(F.when(F.col("type") == "metadata", part)).alias("metadata"))
     )
