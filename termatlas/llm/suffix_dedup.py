@@ -251,8 +251,9 @@ def compare_windows(ws: Workspace, rows: DataFrame, span: int, gram: int) -> Dat
 
     windows = map_arrow(rows.select("id", "th", "pos", "back", "ahead"), f"id {kind}, th long, pos int, d int, w1 long, w2 long", run)
     windows = ws.store(windows, "windows")
-    twice = windows.groupBy("w1", "w2").count().where("count > 1").select("w1", "w2")
-    hit = windows.join(twice, ["w1", "w2"]).groupBy("id", "th", "pos").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    # d belongs to the key: suffixes inside one window name it at different d, and that is one occurrence
+    twice = windows.groupBy("w1", "w2", "d").count().where("count > 1").select("w1", "w2", "d")
+    hit = windows.join(twice, ["w1", "w2", "d"]).groupBy("id", "th", "pos").agg(F.min("d").alias("low"), F.max("d").alias("high"))
     return hit.select("id", "th", (F.col("pos") - F.col("high")).alias("a"), (F.col("pos") - F.col("low") + span).alias("b"))
 
 
