@@ -147,7 +147,7 @@ def votes(page: str) -> list[tuple[str, float]]:
 
 
 def extract(page: str, paths: list[str]) -> str:
-    """Text of the containers on the first path that holds most of what the page's best container holds."""
+    """Text of the containers on the first path that holds a quarter or more of what the page's best container holds."""
     nodes, stream = parse(page)
     ranked = score(nodes, stream)
     if not ranked:
@@ -157,7 +157,7 @@ def extract(page: str, paths: list[str]) -> str:
     for _, n in ranked:
         own.setdefault(path_of(n), []).append(n)
     for p in paths:
-        if sum(n.good for n in own.get(p, ())) >= 0.5 * best:
+        if sum(n.good for n in own.get(p, ())) >= 0.25 * best:
             chosen = own[p]
             break
     picked = set(map(id, chosen or [ranked[0][1]]))
