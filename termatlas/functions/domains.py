@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import json
 import os
 import zipfile
 from functools import lru_cache
@@ -42,11 +43,13 @@ def suffix_rules() -> tuple[tuple[str, str], ...]:
 
 
 def rules_frame(spark: SparkSession) -> DataFrame:
-    """One row for each suffix: its kinds as flags."""
-    rows = spark.createDataFrame(list(suffix_rules()), "suffix string, kind string")
-    return rows.groupBy("suffix").agg(
-        *(F.bool_or(F.col("kind") == k).alias(k) for k in ("normal", "wildcard", "exception"))
-    )
+    """(tld, normal, wildcard, exception): the suffixes of each kind under a last label."""
+    groups: dict[str, dict[str, list[str]]] = {}
+    for suffix, kind in suffix_rules():
+        groups.setdefault(suffix.rpartition(".")[2], {"normal": [], "wildcard": [], "exception": []})[kind].append(suffix)
+    rows = json.dumps([{"tld": tld, **kinds} for tld, kinds in groups.items()])
+    shape = "array<struct<tld:string,normal:array<string>,wildcard:array<string>,exception:array<string>>>"
+    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), shape)))
 
 
 def host(url: Column) -> Column:
@@ -57,21 +60,20 @@ def host(url: Column) -> Column:
 def with_registered_domain(df: DataFrame, url: str = "url", name: str = "registered_domain") -> DataFrame:
     """Add the registered domain of df[url]: '' for null, for addresses, and for hosts without a known suffix.
 
-    The last one to four labels are looked up in the broadcast rules (a fixed list of a few thousand rows), so the
-    rows stay where they are.
+    The last label is looked up in the broadcast rules (a fixed list of a few thousand suffixes), so the rows stay
+    where they are; the longer endings are sought among the rules under it.
     """
-    rules = F.broadcast(rules_frame(df.sparkSession))
+    rules = F.broadcast(rules_frame(df.sparkSession).select(F.col("tld").alias("__tld"), *(F.col(c).alias(f"__{c}") for c in ("normal", "wildcard", "exception"))))
     out = df.withColumn("__labels", F.split(host(F.col(url)), r"\."))
+    out = out.withColumn("__last", F.lower(F.element_at("__labels", -1))).join(rules, F.col("__last") == F.col("__tld"), "left")
     n = F.size("__labels")
-    length = F.lit(0)
-    exception = F.lit(0)
+    length, exception = F.lit(0), F.lit(0)
     for k in range(1, DEPTH + 1):
-        tail = F.when(n >= k, F.lower(F.array_join(F.slice("__labels", -k, k), ".")))
-        found = rules.select(F.col("suffix").alias(f"__s{k}"), *(F.col(c).alias(f"__{c}{k}") for c in ("normal", "wildcard", "exception")))
-        out = out.withColumn("__tail", tail).join(found, F.col("__tail") == F.col(f"__s{k}"), "left").drop("__tail")
-        length = F.greatest(length, F.when(F.col(f"__normal{k}"), k).otherwise(0), F.when(F.col(f"__wildcard{k}") & (n > k), k + 1).otherwise(0))
-        exception = F.greatest(exception, F.when(F.col(f"__exception{k}"), k).otherwise(0))
-    suffix = F.when(exception > 0, exception - 1).otherwise(length)
-    domain = F.when((suffix > 0) & (n > suffix), F.array_join(F.slice("__labels", -(suffix + 1), suffix + 1), ".")).otherwise("")
+        tail = F.lower(F.array_join(F.slice("__labels", -k, k), "."))
+        has = lambda kind, tail=tail, k=k: F.coalesce((n >= k) & F.array_contains(f"__{kind}", tail), F.lit(False))
+        length = F.greatest(length, F.when(has("normal"), k).otherwise(0), F.when(has("wildcard") & (n > k), k + 1).otherwise(0))
+        exception = F.greatest(exception, F.when(has("exception"), k).otherwise(0))
+    out = out.withColumn("__suffix", F.when(F.col("__tld").isNull(), 0).otherwise(F.when(exception > 0, exception - 1).otherwise(length)))
+    domain = F.when((F.col("__suffix") > 0) & (n > F.col("__suffix")), F.array_join(F.slice("__labels", -(F.col("__suffix") + 1), F.col("__suffix") + 1), ".")).otherwise("")
     domain = F.when(domain.rlike(r"^\.|\.\."), "").otherwise(domain)
     return out.withColumn(name, domain).select(*(f"`{c}`" for c in df.columns if c != name), name)

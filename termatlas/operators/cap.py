@@ -10,13 +10,16 @@ KEY = ("crawl_id", "registered_domain")
 
 
 def cap_hits(hits: DataFrame, cap: int, order: tuple[str, ...]) -> DataFrame:
-    """Hits within the cap; hits without a domain are never capped and never meet in one partition."""
-    free = hits.where("registered_domain = ''")
+    """Hits within the cap; hits without a domain are never capped.
+
+    Such a hit has a group of its own, so they neither meet in one partition nor need a second pass over the
+    documents; group limits prune the rest to cap rows a key and task before the shuffle.
+    """
     if cap <= 0:
-        return free
-    rank = F.row_number().over(W.partitionBy(*KEY).orderBy(*order, "label_ord"))
-    named = hits.where("registered_domain <> ''").withColumn("__rank", rank).where(F.col("__rank") <= cap).drop("__rank")
-    return free.unionByName(named)
+        return hits.where("registered_domain = ''")
+    own = F.when(F.col("registered_domain") == "", F.struct(*order, "label_ord"))
+    rank = F.row_number().over(W.partitionBy(*KEY, own).orderBy(*order, "label_ord"))
+    return hits.withColumn("__rank", rank).where(F.col("__rank") <= cap).drop("__rank")
 
 
 def capped_removed(hits: DataFrame, cap: int) -> DataFrame:

@@ -40,9 +40,10 @@ def with_matches(docs: DataFrame, cfg: ScanConfig, disambiguate: bool = True) ->
 
 def match_rows(docs: DataFrame, cfg: ScanConfig, disambiguate: bool = True) -> DataFrame:
     """One row for each match: docs' columns with label_ord, matched_term, start and end."""
-    matched = with_matches(docs, cfg, disambiguate).where(F.size("matches") > 0)
+    matched = with_matches(docs, cfg, disambiguate)
     kept = [c for c in matched.columns if c != "matches"]
-    return matched.select(*kept, F.explode("matches").alias("m")).select(
+    # outer, then filtered above: a filter on the matches would be pushed down and find them all over again
+    return matched.select(*kept, F.explode_outer("matches").alias("m")).where("m is not null").select(
         *kept, F.col("m.ord").alias("label_ord"), F.col("m.label").alias("matched_term"), F.col("m.start").alias("start"), F.col("m.end").alias("end")
     )
 

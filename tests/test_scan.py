@@ -140,4 +140,5 @@ def test_config_needs_filters_and_terms():
 
 def test_filters_reach_the_scan_and_the_cap_prunes(spark):
     plan = scan(corpus(spark, SF), CONFIG).kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("RLIKE") <= len(CONFIG.patterns) + 1  # each pattern is sought once
     assert "WindowGroupLimit" in plan and "PythonUDF" not in plan and "ArrowEvalPython" not in plan
