@@ -16,12 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_ROOT: list[str] = []
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared folder (spark.checkpoint.dir); a local one of this process only where that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = tempfile.mkdtemp(prefix="termatlas-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _OWN_ROOT:
+            _OWN_ROOT.append(tempfile.mkdtemp(prefix="termatlas-"))
+        root = f"file://{_OWN_ROOT[0]}"
     return root.rstrip("/")
 
 
@@ -32,6 +36,7 @@ class Workspace:
         self.spark = spark
         self.path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self.stored: set[str] = set()
 
     def child(self, name: str) -> str:
         self._n += 1
@@ -43,13 +48,22 @@ class Workspace:
         df.write.parquet(out)
         stored = self.spark.read.schema(df.schema).parquet(out)
         stored.stored_at = out
+        self.stored.add(out)
         return stored
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables written by store() that nothing reads any more."""
         for t in tables:
+            self.stored.discard(t.stored_at)
             self.delete(t.stored_at)
 
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete every stored table but these, once nothing else is read any more."""
+        kept = {t.stored_at for t in tables}
+        for path in self.stored - kept:
+            self.delete(path)
+        self.stored = kept
+
     def delete(self, path: str) -> None:
         jvm = self.spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)

@@ -281,6 +281,7 @@ def near_duplicates(
     )
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = ws.store(named.join(first, "component").select("fp", "component_id"), "classes")
+    ws.keep_only(own, classes)
     return own.join(classes, "fp").select(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),

@@ -344,6 +344,7 @@ def _without_repeats(rows: DataFrame, span: int, gram: int, bucket: int, schema:
     keyed = rows.withColumn("th", F.xxhash64("text"))
     spans = repeated_spans(ws, keyed.select("id", "th", "text"), span, gram, bucket)
     lists = ws.store(spans.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    ws.keep_only(lists)
 
     def run(batches):
         for batch in batches:

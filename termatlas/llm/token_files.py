@@ -259,4 +259,6 @@ def pack_round_trip(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: s
     """Write docs as token files and read every document back from them."""
     ws = Workspace(docs.sparkSession, "token-files")
     files = write_token_files(ws, docs, tokenizer_path, end_id, id_col, text_col)
-    return read_token_files(ws.store(files, "manifest")).withColumnRenamed("id", id_col)
+    listed = ws.store(files, "manifest")
+    ws.keep_only(listed)
+    return read_token_files(listed).withColumnRenamed("id", id_col)

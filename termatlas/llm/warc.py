@@ -163,17 +163,20 @@ def assemble(ws: Workspace, archives: DataFrame) -> DataFrame:
     none belongs to the capture. Requests and metadata without a capture are not captures and give no row.
     """
     heads = ws.store(read_archives(archives, captures=False), "heads")
-    keys = transaction_keys(ws, heads)
+    short = lambda c: F.unhex(F.md5(c))  # noqa: E731  16 bytes in place of an identifier's text
+    keys = transaction_keys(ws, heads.select(short(F.col("record_id")).alias("record_id"), "type", F.transform("concurrent_to", short).alias("concurrent_to")))
+    heads = heads.withColumn("key", short(F.col("record_id")))
+    keys = keys.select(F.col("record_id").alias("key"), F.col("capture").alias("of"))
     # planned as small, like the list of archives it comes from: the hint keeps payloads from being broadcast
     main = read_archives(archives, captures=True).hint("merge")
     part = F.struct("record_id", "target", "date", "fields", "block")
     others = (
-        heads.where("type in ('request', 'metadata')").join(keys, "record_id")
-        .groupBy("capture")
+        heads.where("type in ('request', 'metadata')").join(keys, "key")
+        .groupBy("of")
         .agg(F.collect_list(F.when(F.col("type") == "request", part)).alias("requests"), F.collect_list(F.when(F.col("type") == "metadata", part)).alias("metadata"))
     )
     return (
-        main.withColumnRenamed("record_id", "capture").join(others, "capture", "left")
+        main.withColumnRenamed("record_id", "capture").join(others, short(F.col("capture")) == F.col("of"), "left")
         .select("capture", "type", "target", "date", "fields", "block", F.coalesce("requests", F.array()).alias("requests"), F.coalesce("metadata", F.array()).alias("metadata"))
     )
 
