@@ -84,5 +84,28 @@ def queries():
     return {k: f for k, f in globals().items() if k.startswith(("op", "pipeline")) and callable(f)}
 
 
+LINKS = """with recursive e as (select a.vec_id as u, b.vec_id as v from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id
+ where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.93),
+r as (select vec_id as id, vec_id as c from embeddings union select e.v, r.c from r join e on e.u = r.id)
+select x.vec_id, (select count(*) from e where e.u = x.vec_id) as n_links, min(r.c) as component_id, min(r.c) = x.vec_id as kept
+ from embeddings x join r on r.id = x.vec_id group by x.vec_id"""
+
+MAIN_TEXT = r"""with o as (select page_id, string_split(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|<footer>|$)', 1),
+  '</?(?:h1|p)>', chr(1), 'g'), chr(1)) as xs from pages where html like '%<article>%'),
+b as (select page_id, unnest(xs) as x, unnest(range(1, len(xs) + 1)) as n from o),
+c as (select page_id, n, trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'),
+  '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) as line from b),
+t as (select page_id, string_agg(line, chr(10) order by n) as text from c where line <> '' group by 1)
+select p.page_id, p.url, coalesce(t.text, '') as text, length(coalesce(t.text, '')) as n_chars from pages p left join t using (page_id)"""
+
+CAPTURES = """with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as h from pages),
+q as (select *, min(page_id) over (partition by h) as first,
+  array_to_string(list_transform(range(0, 8), lambda i: array_to_string(list_transform([15, 10, 5, 0],
+   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 5 * i::int, 5))::bigint >> s) & 31)::int + 1, 1)), '')), '') as payload_digest from p)
+select page_id, payload_bytes, payload_digest, case when first = page_id then 'response' else 'revisit' end as record_type,
+ case when first <> page_id then first end as refers_to from q"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the operators whose whole result it can express; the others are tested by brute force."""
+    return {"op1_embedding_dedup": LINKS, "op4_html_extract": MAIN_TEXT, "op6_warc": CAPTURES}
