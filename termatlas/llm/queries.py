@@ -106,6 +106,22 @@ select page_id, payload_bytes, payload_digest, case when first = page_id then 'r
  case when first <> page_id then first end as refers_to from q"""
 
 
+REPEATS = """with t as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+w as (select doc_id, unnest(range(0, n - 399)) as i, h from t where n >= 400),
+k as (select doc_id, i, hash(substr(h, 2 * i + 1, 800)) as g from w),
+d as (select g from k group by g having count(*) > 1),
+s as (select doc_id, i from k semi join d on k.g = d.g),
+m as (select doc_id, i, case when i <= lag(i) over (partition by doc_id order by i) + 400 then 0 else 1 end as fresh from s),
+r as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from m),
+z as (select doc_id, run, min(i) as a, max(i) + 400 as b from r group by 1, 2),
+e as (select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as was from z),
+p as (select doc_id, sum(b - a) as gone, count(*) as runs, max(b) as last, list(struct_pack(a := was, b := a) order by a) as gaps from e group by 1)
+select t.doc_id, n as n_bytes, coalesce(gone, 0)::bigint as n_removed, coalesce(runs, 0) as n_spans,
+ sha256(unhex(case when runs is null then h else array_to_string(list_transform(gaps, lambda x: substr(h, 2 * x.a + 1, 2 * (x.b - x.a))), '')
+  || substr(h, 2 * last + 1) end)) as kept_sha256
+from t left join p using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators whose whole result it can express; the others are tested by brute force."""
-    return {"op1_embedding_dedup": LINKS, "op4_html_extract": MAIN_TEXT, "op6_warc": CAPTURES}
+    return {"op1_embedding_dedup": LINKS, "op4_html_extract": MAIN_TEXT, "op6_warc": CAPTURES, "op9_suffix_dedup": REPEATS}
