@@ -14,7 +14,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .warc import read_records
 
 SCHEMA = "source_wet string, record_idx long, url string, warc_date string, text string"
-COLUMNS = ("source_wet", "record_idx", "url", "warc_date", "text")
+ARROW = pa.schema([("source_wet", pa.string()), ("record_idx", pa.int64()), ("url", pa.string()), ("warc_date", pa.string()), ("text", pa.string())])
 
 
 def conversions(stream, name: str) -> Iterator[tuple]:
@@ -26,20 +26,20 @@ def conversions(stream, name: str) -> Iterator[tuple]:
             at += 1
 
 
-def batches(rows: Iterator[tuple], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
+
 
-    schema = to_arrow_schema(_parse_datatype_string(SCHEMA))
+def batches(rows: Iterator[tuple], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
         held.append(row)
         size += len(row[4])
         if size >= most:
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            yield _batch(held)
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+        yield _batch(held)
 
 
 class WetFile(InputPartition):
