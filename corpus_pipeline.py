@@ -13,6 +13,9 @@ from termatlas.llm.simhash import keep_one
 from termatlas.llm.suffix_dedup import cut_repeats
 
 
+PASSAGE_BYTES = 240
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose posterior quality is good enough; the others go."""
     return keep_good(docs)
@@ -24,8 +27,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of passages that repeat anywhere; n_chars follows."""
-    return cut_repeats(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Texts without the bytes of passages that repeat anywhere; n_chars follows.
+
+    PASSAGE_BYTES is under the length of 50 words in the corpus' languages.
+    """
+    return cut_repeats(docs, span=PASSAGE_BYTES, gram=48).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

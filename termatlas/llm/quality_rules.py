@@ -11,7 +11,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Workspace, as_bytes, map_arrow, slices
@@ -78,42 +79,55 @@ def count_text(raw: bytes) -> tuple:
 
 def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of counts for each document; a null text counts as empty."""
-    names = [x.split()[0] for x in FEATURES.split(", ")]
     kind = docs.select(id_col).schema[0].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 rows = [count_text(x) for x in as_bytes(part.column("text"))]
-                yield {"id": part.column("id")} | dict(zip(names, zip(*rows, strict=True), strict=True))
+                yield {"id": part.column("id")} | dict(zip(NAMES, zip(*rows, strict=True), strict=True))
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return map_arrow(rows, f"id {kind}, {FEATURES}", run).withColumnRenamed("id", id_col)
 
 
-def _vote(good: Column, bad: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
+def rules(c) -> dict[str, tuple]:
+    """(votes good, votes bad) of each rule; every one of them may abstain, and bad goes before good.
 
-
-def rule_votes() -> dict[str, Column]:
-    """The rules; every one of them may abstain."""
-    n = F.greatest(F.col("n_words"), F.lit(1))
-    lines = F.greatest(F.col("n_lines"), F.lit(1))
-    letters = F.greatest(F.col("n_alnum"), F.lit(1))
-    chars = F.greatest(F.col("word_chars"), F.lit(1))
+    c maps the counts to Spark columns or to numpy arrays; n, lines, alnum and chars are the counts, 1 at least.
+    """
+    n, lines, alnum, chars = c["n"], c["lines"], c["alnum"], c["chars"]
     return {
-        "v_length": _vote(F.col("n_words") >= 50, F.col("n_words") < 20),
-        "v_word_length": _vote(F.col("word_chars").between(3 * n, 7 * n), (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 12 * n)),
-        "v_symbols": _vote(F.col("n_symbols") * 20 < n, F.col("n_symbols") * 5 > n),
-        "v_lines": _vote(F.col("n_dup_lines") * 10 < lines, (F.col("n_dup_lines") * 10 > 3 * lines) & (F.col("n_dup_lines") > 2)),
-        "v_repeats": _vote(F.col("n_repeat_words") * 10 < n, F.col("n_repeat_words") * 10 > 3 * n),
-        "v_upper": _vote(F.col("n_upper") * 10 < letters, F.col("n_upper") * 10 > 3 * letters),
-        "v_variety": _vote(F.col("n_distinct") * 3 > n, F.col("n_distinct") * 5 < n),
-        "v_plain": _vote(F.col("n_plain") * 4 > 3 * n, F.col("n_plain") * 10 < 6 * n),
-        "v_alnum": _vote(F.col("n_alnum") * 20 > 19 * chars, F.col("n_alnum") * 20 < 17 * chars),
+        "v_length": (c["n_words"] >= 50, c["n_words"] < 20),
+        "v_word_length": ((c["word_chars"] >= 3 * n) & (c["word_chars"] <= 7 * n), (c["word_chars"] < 2 * n) | (c["word_chars"] > 12 * n)),
+        "v_symbols": (c["n_symbols"] * 20 < n, c["n_symbols"] * 5 > n),
+        "v_lines": (c["n_dup_lines"] * 10 < lines, (c["n_dup_lines"] * 10 > 3 * lines) & (c["n_dup_lines"] > 2)),
+        "v_repeats": (c["n_repeat_words"] * 10 < n, c["n_repeat_words"] * 10 > 3 * n),
+        "v_upper": (c["n_upper"] * 10 < alnum, c["n_upper"] * 10 > 3 * alnum),
+        "v_variety": (c["n_distinct"] * 3 > n, c["n_distinct"] * 5 < n),
+        "v_plain": (c["n_plain"] * 4 > 3 * n, c["n_plain"] * 10 < 6 * n),
+        "v_alnum": (c["n_alnum"] * 20 > 19 * chars, c["n_alnum"] * 20 < 17 * chars),
     }
 
 
+#: The counts' names in FEATURES, and those that rules() wants as 1 at least.
+NAMES = tuple(x.split()[0] for x in FEATURES.split(", "))
+AT_LEAST_1 = {"n": "n_words", "lines": "n_lines", "alnum": "n_alnum", "chars": "word_chars"}
+
+
+def with_votes(counts: DataFrame) -> DataFrame:
+    c = {k: F.col(k) for k in NAMES} | {k: F.greatest(F.col(v), F.lit(1)) for k, v in AT_LEAST_1.items()}
+    return counts.select("*", *(F.when(bad, -1).when(good, 1).otherwise(0).alias(k) for k, (good, bad) in rules(c).items()))
+
+
+def fit_rules(voted: DataFrame) -> dict:
+    """The accuracies from all rows' vote patterns, of which there are at most 3 to the number of rules."""
+    names = [c for c in voted.columns if c.startswith("v_")]
+    seen = voted.groupBy(*names).count().collect()
+    patterns = np.array([[r[k] for k in names] for r in seen], dtype=np.int64).reshape(len(seen), len(names))
+    return fit_accuracies(patterns, np.array([r["count"] for r in seen], dtype=float)) | {"names": names}
+
+
 def fit_accuracies(patterns: np.ndarray, weights: np.ndarray, prior: float = 0.8, rounds: int = 200) -> dict:
     """Expectation-maximisation over vote patterns (rows x rules of -1, 0, 1) with row weights.
 
@@ -161,16 +175,10 @@ def score_quality(
     spark = docs.sparkSession
     ws = Workspace(spark, "quality")
     counts = ws.store(text_counts(docs, id_col, text_col), "counts")
-    rules = rule_votes()
-    voted = counts.select("*", *(c.cast("int").alias(k) for k, c in rules.items()))
-    names = list(rules)
-    seen = voted.groupBy(*names).count().collect()  # at most 3**len(rules) rows
-    model = fit_accuracies(
-        np.array([[r[k] for k in names] for r in seen], dtype=np.int64).reshape(len(seen), len(names)),
-        np.array([r["count"] for r in seen], dtype=float),
-    )
+    voted = with_votes(counts)
+    model = fit_rules(voted)
     score = F.lit(model["prior"])
-    for k, good, bad in zip(names, model["good"], model["bad"], strict=True):
+    for k, good, bad in zip(model["names"], model["good"], model["bad"], strict=True):
         score = score + F.when(F.col(k) > 0, good).when(F.col(k) < 0, bad).otherwise(0.0)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     return (
@@ -180,10 +188,28 @@ def score_quality(
     )
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose document is kept; columns as in docs."""
-    verdict = score_quality(docs, **options)
-    id_col = options.get("id_col", "doc_id")
-    names = [f"`{c}`" for c in docs.columns]
-    rejected = verdict.where("not kept").select(F.col(id_col).alias("__rejected"))
-    return docs.join(rejected, docs[id_col].eqNullSafe(rejected["__rejected"]), "left_anti").select(*names)
+def keep_good(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.1, min_words: int = 20, max_repeat_percent: int = 30
+) -> DataFrame:
+    """The rows of docs whose document score_quality keeps; columns as in docs.
+
+    The texts are counted once for the vote patterns and once more to filter: neither pass moves them.
+    """
+    model = fit_rules(with_votes(text_counts(docs, id_col, text_col)))
+    good, bad = np.array(model["good"]), np.array(model["bad"])
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                rows = np.array([count_text(x) for x in as_bytes(part.column(at).cast("string"))], dtype=np.int64)
+                c = dict(zip(NAMES, rows.T, strict=True))
+                c |= {k: np.maximum(c[v], 1) for k, v in AT_LEAST_1.items()}
+                score = np.full(len(rows), model["prior"])
+                for (g, b), w_good, w_bad in zip(rules(c).values(), good, bad, strict=True):
+                    score += np.where(b, w_bad, np.where(g, w_good, 0.0))
+                fine = (c["n_words"] >= min_words) & (c["n_repeat_words"] * 100 <= c["n_words"] * max_repeat_percent)
+                p_good = np.round(1 / (1 + np.exp(-score)), 9)
+                yield part.filter(pa.array(fine & (p_good >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)
