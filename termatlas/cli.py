@@ -71,26 +71,37 @@ def export(spark: SparkSession, interim: str = "data/interim", reports: str = "r
     return out + ([chart] if chart else [])
 
 
+#: Commands that stand for several.
+GROUPS = {"cc-acquire": ("cc-sample", "cc-download"), "cc-pilot": ("cc-sample", "cc-download", "cc-scan"), "cc-stage1": ("cc-sample", "cc-download", "cc-scan", "cc-export")}
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="termatlas")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("cc-sample", "cc-download", "cc-scan", "cc-export"):
+    for name in ("cc-sample", "cc-download", "cc-scan", "cc-export", *GROUPS):
         command = commands.add_parser(name)
         command.add_argument("--config", default="configs/pilot.yaml")
         if name == "cc-download":
             command.add_argument("--manifest")
     args = parser.parse_args(argv)
     cfg, spark = load(args.config), session()
-    if args.command == "cc-sample":
+    for command in GROUPS.get(args.command, (args.command,)):
+        if code := run_command(spark, cfg, command, getattr(args, "manifest", None)):
+            return code
+    return 0
+
+
+def run_command(spark: SparkSession, cfg: ScanConfig, command: str, given: str | None = None) -> int:
+    if command == "cc-sample":
         print(sample(spark, cfg))
-    elif args.command == "cc-download":
-        path = args.manifest or M.latest_manifest("data/manifests")
+    elif command == "cc-download":
+        path = given or M.latest_manifest("data/manifests")
         if path is None:
             print("no manifest found", file=sys.stderr)
             return 1
         sampled, fetched = download(spark, path)
         print(f"sampled {sampled}, downloaded {fetched}")
-    elif args.command == "cc-scan":
+    elif command == "cc-scan":
         print(run_scan(spark, cfg))
     else:
         print(*export(spark, cfg.out_dir), sep="\n")

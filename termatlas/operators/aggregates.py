@@ -69,18 +69,33 @@ def hit_summary(hits: DataFrame) -> DataFrame:
     )
 
 
+def kept_metrics(kept: DataFrame, labels: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """hits_total, unique_domains_hits and hits_by_term of one pass; labels are the configured ones, a few."""
+    of = {x: F.col("matched_term") == x for x in labels}
+    row = kept.agg(
+        F.count("*").alias("hits_total"),
+        F.count_distinct(F.when(F.col("registered_domain") != "", F.col("registered_domain"))).alias("unique_domains_hits"),
+        *(F.count_if(c).alias(f"n{i}") for i, c in enumerate(of.values())),
+        *(F.min(F.when(c, F.struct(*order, "label_ord"))).alias(f"s{i}") for i, c in enumerate(of.values())),
+    )
+    found = F.array(*(F.struct(F.col(f"s{i}").alias("seen"), F.lit(x).alias("term"), F.col(f"n{i}").alias("n")) for i, x in enumerate(labels)))
+    found = F.array_sort(F.filter(found, lambda x: x["n"] > 0)) if labels else F.array()
+    entries = F.transform(found, lambda x: F.struct(x["term"].alias("key"), x["n"].alias("value")))
+    json = F.to_json(F.map_from_entries(entries)) if labels else F.lit("{}")
+    return row.select("hits_total", "unique_domains_hits", json.alias("hits_by_term"))
+
+
 METRICS = ("docs_scanned", "docs_minlen", "hits_total", "hits_by_term", "unique_domains_total", "unique_domains_hits", "capped_removed")
 
 
-def summary(docs: DataFrame, hits: DataFrame, kept: DataFrame, min_chars: int, cap: int, order: tuple[str, ...]) -> DataFrame:
+def summary(docs: DataFrame, hits: DataFrame, kept: DataFrame, min_chars: int, cap: int, labels: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """(ord, metric, value): the run's metrics in their fixed order, values as strings."""
     from .cap import capped_removed
 
-    parts = [funnel(docs, min_chars), hit_summary(kept), hits_by_term_json(kept, order), capped_removed(hits, cap)]
+    parts = [funnel(docs, min_chars), kept_metrics(kept, labels, order), capped_removed(hits, cap)]
     row = parts[0]
     for p in parts[1:]:
         row = row.crossJoin(F.broadcast(p))  # single rows
-    row = row.withColumn("hits_by_term", F.coalesce("hits_by_term", F.lit("{}")))
     stack = ", ".join(f"{i}, '{m}', cast({m} as string)" for i, m in enumerate(METRICS))
     return row.selectExpr(f"stack({len(METRICS)}, {stack}) as (ord, metric, value)")
 
@@ -91,6 +106,24 @@ def hit_rate(funnel_row: DataFrame, hits_row: DataFrame) -> DataFrame:
     )
 
 
+def cap_documents(hits: DataFrame, cap: int, order: tuple[str, ...]) -> DataFrame:
+    """The cap counted in documents: hits of a domain's first cap documents that have any, each with all its hits."""
+    own = F.when(F.col("registered_domain") == "", F.struct(*order))
+    rank = F.dense_rank().over(W.partitionBy("crawl_id", "registered_domain", own).orderBy(*order))
+    return hits.withColumn("__rank", rank).where(F.col("__rank") <= cap).drop("__rank")
+
+
+def confident_documents(kept: DataFrame, key: tuple[str, ...], least: int = 2) -> DataFrame:
+    """Documents with hits of at least `least` labels."""
+    return kept.groupBy(*key).agg(F.count_distinct("matched_term").alias("n_terms")).where(F.col("n_terms") >= least)
+
+
+def snippet_words(kept: DataFrame) -> DataFrame:
+    """How often each word stands in a crawl's snippets: what the context of the terms is made of."""
+    words = kept.select("crawl_id", F.explode(F.split(F.lower("context_snippet"), " ")).alias("word"))
+    return words.where("word <> ''").groupBy("crawl_id", "word").agg(F.count("*").alias("n"))
+
+
 def prevalence(docs: DataFrame, kept: DataFrame, min_chars: int) -> DataFrame:
     """Documents with a kept hit, hits and hit rate for each crawl."""
     base = docs.where(F.length("text") >= min_chars).groupBy("crawl_id").agg(F.count("*").alias("docs_minlen"))

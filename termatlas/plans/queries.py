@@ -202,6 +202,18 @@ def prevalence_by_crawl(spark, sf_dir):
     return A.prevalence(corpus(spark, sf_dir), result(spark, sf_dir).kept, CONFIG.min_chars).select("crawl_id", "docs_minlen", "hits", "hit_rate")
 
 
+def hits_capped_by_document(spark, sf_dir):
+    return A.cap_documents(result(spark, sf_dir).hits, CONFIG.domain_cap, CONFIG.order).select("record_idx", "matched_term")
+
+
+def confident_documents(spark, sf_dir):
+    return A.confident_documents(result(spark, sf_dir).kept, ("record_idx",), 2)
+
+
+def snippet_words(spark, sf_dir):
+    return A.snippet_words(result(spark, sf_dir).kept)
+
+
 def _folder(spark: SparkSession, label: str) -> str:
     import tempfile
     import uuid
@@ -234,7 +246,7 @@ QUERIES = {
         unique_domains_total, unique_domains_hits, hits_per_domain, top25_domains, summary_eav, hit_rate, top10_share, top20_share,
         top15_bars, hits_by_term_json, hits_by_term_decoded, ambiguous_rows, seeded_hit_sample, stable_seeds, reservoir_native,
         reservoir_exact, manifest_rows, manifest_roundtrip, download_names, latest_manifest, latest_run, validate_counts,
-        corpus_roundtrip, prevalence_by_crawl,
+        corpus_roundtrip, prevalence_by_crawl, hits_capped_by_document, confident_documents, snippet_words,
     )
 }
 
@@ -331,6 +343,10 @@ def oracle_sql() -> dict[str, str]:
         "validate_counts": _drawn() + "select count(*) as n_sampled, count(*) as n_files from s",
         "prevalence_by_crawl": c + "select d.crawl_id, d.n as docs_minlen, coalesce(x.hits, 0) as hits, coalesce(x.hits, 0) / d.n::double as hit_rate from (select crawl_id, count(*) as n from d group by 1) d left join (select crawl_id, count(*) as hits from k group by 1) x using (crawl_id)",
     }
+    cap = CONFIG.domain_cap
+    out["hits_capped_by_document"] = c + f", b as (select *, dense_rank() over (partition by crawl_id, registered_domain order by record_idx) as dr from h) select record_idx, matched_term from b where registered_domain = '' or dr <= {cap}"
+    out["confident_documents"] = c + "select record_idx, count(*) as n_terms from k group by 1 having count(*) >= 2"
+    out["snippet_words"] = c + ", w as (select crawl_id, unnest(string_split(lower(context_snippet), ' ')) as word from k) select crawl_id, word, count(*) as n from w where word <> '' group by 1, 2"
     out["corpus_roundtrip"] = out["corpus_columns"]
     out["manifest_roundtrip"] = out["manifest_rows"]
     return out

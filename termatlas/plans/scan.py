@@ -57,7 +57,8 @@ class ScanResult:
 
     @property
     def summary(self) -> DataFrame:
-        return A.summary(self.docs, self.hits, self.kept, self.cfg.min_chars, self.cfg.domain_cap, self.cfg.order)
+        labels = tuple(p.label for p in self.cfg.patterns)
+        return A.summary(self.docs, self.hits, self.kept, self.cfg.min_chars, self.cfg.domain_cap, labels, self.cfg.order)
 
     def persisted(self) -> ScanResult:
         """The same result with its hits (a small part of the documents) kept for several outputs."""
