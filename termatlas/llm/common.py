@@ -26,7 +26,9 @@ def shared_root(spark: SparkSession) -> str:
         if not _OWN_ROOT:
             _OWN_ROOT.append(tempfile.mkdtemp(prefix="termatlas-"))
         root = f"file://{_OWN_ROOT[0]}"
-    return root.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)
+    return found.toString().rstrip("/")  # with its scheme, so that Spark and Python mean the same place
 
 
 class Workspace:
