@@ -183,6 +183,41 @@ def test_thresholds_satisfy_the_pigeonhole():
         assert sum(e + 1 for _, e in plan) == 5
 
 
+def test_similar_documents(spark):
+    """Light copies join their original, heavy rewrites and unrelated texts do not, whatever the block size."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    rows, group = [], {}
+    for g in range(30):
+        base = [word() for _ in range(300)]
+        for copy in range(5):
+            words = list(base)
+            for at in rng.sample(range(300), (0, 2, 3, 4, 150)[copy]):
+                words[at] = word()
+            group[len(rows)] = (g, copy)
+            rows.append((len(rows), " ".join(words)))
+    rows += [(900, None), (901, ""), (902, "one"), (903, "one")]
+    for block in (8192, 8):
+        got = {r["doc_id"]: r for r in simhash.similar_documents(documents(spark, rows), block=block).collect()}
+        for i, (g, copy) in group.items():
+            assert got[i]["component_id"] == (i if copy == 4 else 5 * g), (i, g, copy)
+        assert got[901]["component_id"] == 900 and got[903]["component_id"] == 902 and not got[903]["kept"]
+    assert simhash.similar_documents(documents(spark).limit(0)).count() == 0
+
+
+def test_similar_plan_reaches_its_recall():
+    x = np.random.default_rng(0).random((3000, 64)) < 0.5
+    both = x.T.astype(float) @ x
+    change = simhash.bit_change(0.8)
+    for n in (100, 10**6, 10**9):
+        miss = 1.0
+        for _, bits, e in simhash.plan_similar(n, [both * (n / 3000)] * 4, change, 0.99):
+            import math
+
+            miss *= 1 - sum(math.comb(len(bits), i) * change**i * (1 - change) ** (len(bits) - i) for i in range(e + 1))
+        assert miss <= 0.01
+
+
 # --- op 9 ---------------------------------------------------------------------------------------
 
 
