@@ -88,6 +88,7 @@ def map_arrow(
                 for t, c in ((t, cols[t.name]) for t in target)
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
     return df.mapInArrow(run, schema)
 

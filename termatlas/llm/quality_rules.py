@@ -201,7 +201,7 @@ def keep_good(
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, 4 << 20):
                 rows = np.array([count_text(x) for x in as_bytes(part.column(at).cast("string"))], dtype=np.int64)
                 c = dict(zip(NAMES, rows.T, strict=True))
                 c |= {k: np.maximum(c[v], 1) for k, v in AT_LEAST_1.items()}
@@ -211,5 +211,6 @@ def keep_good(
                 fine = (c["n_words"] >= min_words) & (c["n_repeat_words"] * 100 <= c["n_words"] * max_repeat_percent)
                 p_good = np.round(1 / (1 + np.exp(-score)), 9)
                 yield part.filter(pa.array(fine & (p_good >= threshold)))
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, docs.schema)
