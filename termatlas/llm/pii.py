@@ -22,10 +22,11 @@ KINDS = ("email", "ip", "card", "phone")
 EXAMPLES = 4000
 
 #: The base patterns, written without useless retries (possessive, anchored at the start of a run).
+#: Only possessive groups repeat without bound: Java runs any other such group by recursion, as deep as the text is long.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9]){12,}",
+    "card": r"(?=[0-9](?:[\x20-]?[0-9]){12})[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: The looser generators.

@@ -326,6 +326,16 @@ def test_base_spans_equal_pythons(spark):
         assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
 
 
+def test_long_runs_of_digits(spark):
+    card = "4111 1111 1111 1111"
+    rows = [(0, "1" * 100_000), (1, "12 " * 50_000), (2, "1-2 " * 50_000), (3, "1 23\n" * 20_000 + card), (4, f"{card}  " + "7 " * 100_000)]
+    got = {r["doc_id"]: r for r in pii.pii_digest(documents(spark, rows)).collect()}
+    for i, t in rows:
+        joined = ",".join(f"card:{m.start()}:{m.end()}" for m in re.finditer(card, t))
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest(), i
+    assert [got[i]["n_card"] for i in range(5)] == [0, 0, 0, 1, 1]
+
+
 def test_boosted_candidates_add_spans(spark):
     model = pii.fitted(spark)
     assert model["accuracy"] > 0.95 and len(pii.examples()) == pii.EXAMPLES
