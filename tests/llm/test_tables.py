@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termatlas.llm import bpe, embedding_dedup, html_extract, token_files, warc
-from termatlas.llm.common import RecentCache, Workspace, slices
+from termatlas.llm.common import RecentCache, Workspace, forest, slices
 from tests.llm.fixtures import documents, texts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -236,6 +236,39 @@ def test_embedding_links(spark, block):
     assert embedding_dedup.near_duplicates(df.union(df)).count() == 2 * len(rows)
 
 
+@pytest.mark.parametrize("exact", [32768, 64])
+def test_concentrated_label(spark, exact):
+    """Vectors around one direction, which random bits hardly tell apart."""
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(64)
+    x = 0.88**0.5 * centre / np.sqrt(centre @ centre) + 0.12**0.5 * rng.standard_normal((3000, 10)) @ rng.standard_normal((10, 64)) / np.sqrt(640)
+    rows = [(i, v, 0) for i, v in enumerate(x.tolist())] + [(5000 + i, v, 1) for i, v in enumerate(rng.standard_normal((200, 64)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    near = unit @ unit.T >= 0.985
+    u, v = np.nonzero(near)
+    comp = forest(3000, u, v)
+    assert 100 < len(set(comp.tolist())) < 2900
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicates(df, threshold=0.985, window=16, exact=exact).collect()}
+    assert [got[i] for i in range(3000)] == list(zip((near.sum(axis=1) - 1).tolist(), comp.tolist()))
+    assert all(got[5000 + i] == (0, 5000 + i) for i in range(200))
+
+
+def test_depths_bound_the_window():
+    rng = np.random.default_rng(6)
+    grp = np.sort(rng.integers(0, 3, 400))
+    sig = rng.integers(-(2**63), 2**63 - 1, 400) & np.int64(~0xFFFFFFFF)
+    sig[:30] = sig[0]
+    order = np.lexsort((sig, grp))
+    grp, sig = grp[order], sig[order]
+    depth = embedding_dedup.row_depths(grp, sig, 8)
+    assert depth.size == 400 - 18 and depth.max() == 65
+    for k, d in enumerate(depth.tolist()):
+        i = k + 9
+        shared = [64 - (int(x) & (2**64 - 1)).bit_length() for x in (sig ^ sig[i]).tolist()]
+        assert all(abs(j - i) <= 8 for j in range(400) if grp[j] == grp[i] and shared[j] >= d)
+
+
 def test_passes_follow_the_rows():
     n = [embedding_dedup.passes_needed(r, 64, 0.93, 0.001) for r in (10, 10**4, 10**6)]
     assert n == sorted(n) and n[0] >= 4
