@@ -1,7 +1,8 @@
 """Main-text extraction by consensus paths.
 
 Every page scores its containers by the running text they hold, less links and furniture, and votes for their
-generalised tag-class paths. Spark sums the votes for each host; pages are then read again with their host's
+generalised tag-class paths. Links and furniture lower a score but never rule a container out, and a page without
+a body element is its own container, so that text outside furniture is always found. Spark sums the votes for each host; pages are then read again with their host's
 winning paths, and only a page on which none of them fits falls back to its own best container.
 """
 
@@ -43,11 +44,11 @@ WANTED = frozenset("article articles body content entry main post prose story te
 
 
 class Node:
-    __slots__ = ("tag", "names", "parent", "good", "bad", "bare", "blocks")
+    __slots__ = ("tag", "names", "parent", "good", "links", "left_out", "bare", "blocks")
 
     def __init__(self, tag: str, names: tuple, parent):
         self.tag, self.names, self.parent = tag, names, parent
-        self.good = self.bad = 0
+        self.good = self.links = self.left_out = 0
         self.bare = tag in FURNITURE or bool(UNWANTED.intersection(names)) or (parent is not None and parent.bare)
 
 
@@ -111,7 +112,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
 
 
 def score(nodes: list[Node], stream: list) -> list[tuple[float, Node]]:
-    """(score, container), best first: running text less furniture and links, weighed by what the element is called."""
+    """(score, container), best first: running text less furniture and links, weighed by what the element is called.
+
+    Furniture inside a container takes away half of its score at most; a container with more links than running text
+    keeps a hundredth of its length. Text outside a body element belongs to the page's root.
+    """
+    root = None
     for node, text in stream:
         if not text:
             continue
@@ -119,18 +125,23 @@ def score(nodes: list[Node], stream: list) -> list[tuple[float, Node]]:
         n, linked = node, False
         while n is not None:
             linked = linked or n.tag == "a"
-            if linked or node.bare:
-                n.bad += size
+            if node.bare:
+                n.left_out += size
+            elif linked:
+                n.links += size
             else:
                 n.good += size
-            n = n.parent
+            root, n = n, n.parent
     out = []
+    if root is not None and not any(n.tag == "body" and n.good + n.links for n in nodes):
+        nodes = [*nodes, root]
     for n in nodes:
-        if n.tag in CONTAINER and not n.bare and n.good > n.bad:
-            weight = 1.3 if n.tag in ("article", "main") else 0.9 if n.tag == "body" else 1.0
+        if (n.tag in CONTAINER or n is root) and not n.bare and n.good + n.links:
+            weight = 1.3 if n.tag in ("article", "main") else 0.9 if n.tag == "body" or n is root else 1.0
             if WANTED.intersection(n.names):
                 weight *= 1.2
-            out.append((weight * (n.good - n.bad), n))
+            own = max(n.good - n.links, 0)
+            out.append((weight * (max(own - n.left_out, own / 2) + (n.good + n.links) / 100), n))
     out.sort(key=lambda x: -x[0])
     return out
 
@@ -152,12 +163,12 @@ def extract(page: str, paths: list[str]) -> str:
     ranked = score(nodes, stream)
     if not ranked:
         return ""
-    best, chosen = ranked[0][1].good, None
+    best, chosen = ranked[0][1].good + ranked[0][1].links, None
     own: dict[str, list[Node]] = {}
     for _, n in ranked:
         own.setdefault(path_of(n), []).append(n)
     for p in paths:
-        if sum(n.good for n in own.get(p, ())) >= 0.25 * best:
+        if p in own and sum(n.good + n.links for n in own[p]) >= 0.25 * best:
             chosen = own[p]
             break
     picked = set(map(id, chosen or [ranked[0][1]]))

@@ -165,6 +165,22 @@ def test_host_paths_outvote_a_page():
     assert html_extract.extract(page, ["body>div.entry"]).startswith("own")
 
 
+def test_text_is_found_beside_furniture_and_links():
+    words = "own words " * 50
+    own = words.strip()
+    for nested in ('<div class="comments">%s</div>', "<form>%s</form>", '<div class="ad">%s</div>'):
+        page = f"<body><article><p>{words}</p>{nested % ('other ' * 400)}</article><div><p>side box</p></div>"
+        assert html_extract.extract(page, []) == own
+        assert html_extract.extract(page, ["body>article"]) == own and html_extract.votes(page)[0][0] == "body>article"
+    links = "<p>short <a href=x>" + words + "</a></p>"
+    assert html_extract.extract(f"<body><article>{links}</article>", []) == f"short {own}"
+    assert html_extract.extract(f"<body><div class=side>{words}</div><article>{links}</article>", ["body>article"]) == f"short {own}"
+    assert html_extract.extract("<h1>Head</h1><p>one<p>two<nav>Home</nav>", []) == "Head\none\ntwo"
+    assert html_extract.extract(f"<h1>Head</h1><p>{words}</p><div>small</div>", []) == f"Head\n{own}\nsmall"
+    assert html_extract.extract("no tags at all", []) == "no tags at all"
+    assert html_extract.extract("<nav>Home</nav><script>x</script>", []) == ""
+
+
 # --- op 6 ---------------------------------------------------------------------------------------
 
 
