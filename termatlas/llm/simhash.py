@@ -292,23 +292,28 @@ def near_duplicates(
 
 # --- similar documents --------------------------------------------------------------------------
 
-#: Fingerprints of a sketch; 256 bits tell a similarity of 0.8 from one of 0.6 with few errors.
+#: Fingerprints of a sketch; its 256 bits propose candidates.
 WORDS = 4
 
 
-def sketch(raw: bytes, shingle: int = 5, seed: int = 42) -> list[int]:
-    """WORDS independent fingerprints of a text's shingles; zeros without words."""
+def shingles(raw: bytes, shingle: int = 5, seed: int = 42) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of a text's shingles; a text shorter than one is its own shingle."""
     words = raw.translate(LOWER).split()
     if not words:
-        return [0] * WORDS
+        return np.zeros(0, dtype="<u8")
     whole = b" ".join(words)
     if len(words) <= shingle:
-        h = np.array([xxhash.xxh64_intdigest(whole, seed)], dtype="<u8")
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
-        starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
-        stops = (ends[shingle - 1 :] - 1).tolist()
-        h = np.array([xxhash.xxh64_intdigest(whole[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype="<u8")
+        return np.array([xxhash.xxh64_intdigest(whole, seed)], dtype="<u8")
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-1]))[: len(words) - shingle + 1].tolist()
+    stops = (ends[shingle - 1 :] - 1).tolist()
+    return np.unique(np.array([xxhash.xxh64_intdigest(whole[a:b], seed) for a, b in zip(starts, stops, strict=True)], dtype="<u8"))
+
+
+def sketch(h: np.ndarray) -> list[int]:
+    """WORDS independent fingerprints of a set of shingles; zeros for the empty set."""
+    if not h.size:
+        return [0] * WORDS
     out = []
     for k in range(WORDS):
         x = h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
@@ -401,16 +406,68 @@ def similar_rows(key: np.ndarray, f: np.ndarray, most: int, dense: int = 512) ->
     return child, comp[child]
 
 
+def jaccard_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Smallest position joined to each set by steps of at least this Jaccard similarity; all pairs, exactly."""
+    n, size = len(sets), np.array([x.size for x in sets], dtype=np.int64)
+    comp = np.arange(n)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    holders = np.repeat(np.arange(n), size)[np.argsort(token, kind="stable")]
+    first, at = np.cumsum(count) - count, np.cumsum(size) - size
+    for i in range(n):
+        if (comp == comp[i]).all():
+            break
+        own = token[at[i] : at[i] + size[i]]
+        own = own[count[own] > 1]
+        c = count[own]
+        places = np.repeat(first[own] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        both = np.bincount(holders[places], minlength=n)
+        hit = np.flatnonzero((both > 0) & (both >= similarity * (size + size[i] - both) - 1e-9) & (comp != comp[i]))
+        if hit.size:
+            joined = np.unique(comp[np.append(hit, i)])
+            comp[np.isin(comp, joined)] = joined[0]
+    return comp
+
+
+def verified_links(members: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Links (u, v) that join members (component, node, s) as all pairs of a component with that similarity do.
+
+    Blocks of a component meet pairwise, each pair in a task of its own; a spanning forest leaves it.
+    """
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    dealt = (
+        members.join(sizes, "component")
+        .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("component", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).alias("task"), "node", "s")
+    )
+
+    def verify(batches):
+        for t in runs_by_key(batches, ["component", "task"], 1 << 10):
+            cuts = [0, *key_change(t, ["component", "task"]).tolist(), t.num_rows]
+            node, s = t.column("node").to_numpy(), t.column("s").to_pylist()
+            us, vs = [], []
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                comp = jaccard_forest([np.frombuffer(x, dtype="<u8") for x in s[a:b]], similarity)
+                child = np.flatnonzero(comp != np.arange(b - a))
+                us.append(node[a:b][child])
+                vs.append(node[a:b][comp[child]])
+            yield {"u": np.concatenate(us), "v": np.concatenate(vs)}
+
+    return map_arrow(dealt.repartition("component", "task").sortWithinPartitions("component", "task"), "u long, v long", verify)
+
+
 def similar_documents(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    recall: float = 0.99, block: int = 8192,
+    recall: float = 0.99, block: int = 8192, verify_block: int = 1024,
 ) -> DataFrame:
-    """(id, component_id, kept): near copies by the estimated similarity of 256-bit sketches.
+    """(id, component_id, kept): near copies by the Jaccard similarity of their sets of `shingle` words.
 
-    Texts link if their sketches differ in at most the bits that all but a twentieth of the pairs at `similarity`
-    (Jaccard, on shingles of `shingle` words) stay within; groups of bits and thresholds are chosen for the wanted
-    recall of such pairs. Texts without words are copies of each other; repeated rows share a component; an empty
-    table gives an empty result; other columns of docs are ignored.
+    256-bit sketches only propose: groups of bits and thresholds are chosen so that a pair at `similarity` meets with
+    the probability `recall`, and sketches of a candidate differ in at most the bits that all but one in 700 such pairs
+    stay within. Inside each group that candidates connect, texts link if their sets have the similarity. Texts without
+    words are copies of each other; repeated rows share a component; an empty table gives an empty result; other
+    columns of docs are ignored.
     """
     ws = Workspace(docs.sparkSession, "similar")
     kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -419,11 +476,14 @@ def similar_documents(
     def make(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                f = np.array([sketch(x, shingle) for x in as_bytes(part.column("text"))], dtype=np.uint64).view(np.int64)
-                yield {"id": part.column("id")} | {c: np.ascontiguousarray(f[:, k]) for k, c in enumerate(names)}
+                sets = [shingles(x, shingle) for x in as_bytes(part.column("text"))]
+                f = np.array([sketch(h) for h in sets], dtype=np.uint64).view(np.int64)
+                s = [h.tobytes() for h in sets]
+                node = np.array([xxhash.xxh64_intdigest(x) for x in s], dtype=np.uint64).view(np.int64)
+                yield {"id": part.column("id"), "node": node, "s": s} | {c: np.ascontiguousarray(f[:, k]) for k, c in enumerate(names)}
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = ws.store(map_arrow(rows, f"id {kind}, " + ", ".join(f"{c} long" for c in names), make).withColumn("node", F.xxhash64(*names)), "sketches")
+    own = ws.store(map_arrow(rows, f"id {kind}, node long, s binary, " + ", ".join(f"{c} long" for c in names), make), "sketches")
     distinct = ws.store(own.groupBy("node").agg(F.min("id").alias("least"), *(F.min(c).alias(c) for c in names)), "distinct")
 
     stats = [bit_statistics(distinct.select(F.col(c).alias("fp"))) for c in names]
@@ -432,7 +492,7 @@ def similar_documents(
     probes = plan_similar(n, [both for _, both in stats], change, recall)
     masks = [(word, mask) for word, bits, e in probes for mask in probe_masks([(bits, e)])]
     bits = WORDS * BITS
-    most = math.ceil(bits * change + 1.7 * math.sqrt(bits * change * (1 - change)))
+    most = math.ceil(bits * change + 3 * math.sqrt(bits * change * (1 - change)))
 
     def probe(batches):
         for batch in batches:
@@ -473,12 +533,15 @@ def similar_documents(
             yield {"u": node[child], "v": node[root]}
 
     links = map_arrow(dealt.repartition("key", "task").sortWithinPartitions("key", "task"), "u long, v long", compare)
-    joined = ws.store(connected_components(ws, links), "components")
+    groups = ws.store(connected_components(ws, links), "candidates")
+    some = own.select("node", "s").join(groups, "node").groupBy("component", "node").agg(F.first("s").alias("s"))
+    joined = ws.store(connected_components(ws, verified_links(ws.store(some, "sets"), similarity, verify_block)), "components")
     named = distinct.select("node", "least").join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = ws.store(named.join(first, "component").select("node", "component_id"), "classes")
-    ws.keep_only(own, classes)
-    return own.join(classes, "node").select(F.col("id").alias(id_col), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    ids = ws.store(own.select("id", "node"), "ids")
+    ws.keep_only(ids, classes)
+    return ids.join(classes, "node").select(F.col("id").alias(id_col), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -205,6 +205,45 @@ def test_similar_documents(spark):
     assert simhash.similar_documents(documents(spark).limit(0)).count() == 0
 
 
+def brute_similar(texts, similarity=0.8):
+    sets = []
+    for t in texts:
+        w = t.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    least = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    return least
+
+
+def test_similar_documents_are_verified(spark):
+    """Pairs under the similarity stay apart, also texts inside longer ones, chains and texts with repeated shingles."""
+    rng = random.Random(12)
+    prose = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    rows = []
+    for n in (195, 205, 214, 235, 240, 260, 270, 285) * 12:  # of 300: similarities of 0.65 to 0.95
+        base = prose(300)
+        rows += [base, base[:n]]
+        rows.append(base[: n + (300 - n) // 2] + prose((300 - n) // 2))
+        rows.append(base[:n] * 6)
+    rows = [" ".join(r) for r in rows]
+    want = brute_similar(rows)
+    assert 100 < len(set(want)) < 350
+    for block in (1024, 2):
+        got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, list(enumerate(rows))), verify_block=block).collect()}
+        wrong = [i for i in range(len(rows)) if got[i] != want[i]]
+        assert all(got[i] >= want[i] for i in wrong) and len(wrong) <= len(rows) // 50, wrong  # none joined, few missed
+
+
+def test_jaccard_forest_equals_brute_force():
+    rng = random.Random(13)
+    rows = [" ".join(rng.choice("ab") for _ in range(rng.randint(5, 40))) for _ in range(150)]
+    assert simhash.jaccard_forest([simhash.shingles(t.encode()) for t in rows], 0.8).tolist() == brute_similar(rows)
+
+
 def test_similar_plan_reaches_its_recall():
     x = np.random.default_rng(0).random((3000, 64)) < 0.5
     both = x.T.astype(float) @ x
