@@ -69,7 +69,8 @@ def pack(
 ) -> DataFrame:
     """(id, length, bucket, bucket_length, batch_id, slot, padding) for each row of docs.
 
-    length defaults to the words of the text (null and empty: 0); null lengths count as 0. A batch of a bucket holds
+    length defaults to the words of the text (null and empty: 0), and token_budget is in the unit of length: words by
+    default, tokens if length holds token counts; null lengths count as 0. A batch of a bucket holds
     max(1, token_budget // bucket_length) rows, at most token_budget rows where the length is 0; a text longer than
     the budget has a batch of its own. Repeated ids stay rows of their own, ties go by id; an empty table gives an
     empty result; other columns of docs are ignored.
