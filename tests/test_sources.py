@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from termatlas import cli
 from termatlas.config import from_dict
+from termatlas.functions import domains
 from termatlas.functions.domains import with_registered_domain
 from termatlas.functions.text import stable_seed
 from termatlas.operators import sampling as S
@@ -74,6 +75,28 @@ def test_registered_domain(spark, url, domain):
     assert row["registered_domain"] == domain
 
 
+def test_suffix_list_does_not_depend_on_where_jars_lie(spark, tmp_path, monkeypatch):
+    whole = domains.suffix_list(spark)
+    monkeypatch.setattr(domains.pyspark, "__file__", str(tmp_path / "elsewhere" / "__init__.py"))
+    monkeypatch.delenv("SPARK_HOME", raising=False)
+    assert domains.suffix_list(spark) == whole and ("co.uk", "normal") in domains.suffix_rules(whole)
+    assert with_registered_domain(spark.createDataFrame([("http://a.b.co.uk",)], "url string")).first()["registered_domain"] == "b.co.uk"
+    monkeypatch.setattr(domains, "_from_class_path", lambda _: [])
+    with pytest.raises(FileNotFoundError, match=domains.SETTING):
+        domains.suffix_list(spark)
+    own = tmp_path / "own.dat"
+    own.write_text("// mine\nlocal.zz\n*.yy\n!x.yy\n")
+    spark.conf.set(domains.SETTING, str(own))
+    try:
+        assert domains.suffix_rules(domains.suffix_list(spark)) == (("local.zz", "normal"), ("x.yy", "exception"), ("yy", "wildcard"))
+    finally:
+        spark.conf.unset(domains.SETTING)
+
+
+def test_suffix_list_of_the_jars(spark):
+    assert max(domains._from_jars(), key=lambda x: (len(x), x)) == domains.suffix_list(spark)
+
+
 def test_domain_lookup_does_not_shuffle(spark):
     plan = with_registered_domain(spark.range(5).select(F.concat(F.lit("http://a.c"), F.col("id").cast("string")).alias("url")))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 1
