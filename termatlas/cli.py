@@ -15,40 +15,61 @@ from termatlas.plans.scan import scan_wet
 from termatlas.sources import manifest as M
 from termatlas.sources import outputs as O
 
+__all__ = ["download", "export", "main", "run_scan", "sample"]
+
 
 def session() -> SparkSession:
     return SparkSession.builder.appName("termatlas").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
 def sample(spark: SparkSession, cfg: ScanConfig, folder: str = "data/manifests", listing: str = M.LISTING, exact: bool = True) -> str:
-    """Sample every crawl's listing and write the manifest; returns its path."""
+    """Sample every crawl's listing and write the manifest; returns its path. The config has to name a seed."""
+    if cfg.seed is None:
+        raise KeyError("project.seed")
+    log = O.run_log("cc-sample", M.run_id())
+    log.info("Crawls %s, %d files each, seed %d", ", ".join(cfg.crawl_ids), cfg.files_per_crawl, cfg.seed)
     drawn = None
     for crawl in cfg.crawl_ids:
+        log.info("Sampling %s", crawl)
         local = M.fetch(listing.format(crawl=crawl), Path(folder) / "listings" / f"{crawl}.paths.gz")
         rows = M.read_listing(spark, str(local), crawl)
         own = (reservoir_sample if exact else hash_sample)(rows, cfg.files_per_crawl, cfg.seed)
         drawn = own if drawn is None else drawn.unionByName(own)
-    return M.write_manifest(manifest(drawn.orderBy("crawl_id", "slot"), M.timestamp()), folder)
+    path = M.write_manifest(manifest(drawn.orderBy("crawl_id", "slot"), M.timestamp()), folder)
+    log.info("Wrote manifest %s", path)
+    print(f"Sampled {M.read_manifest(spark, path).count()} WET files across {len(cfg.crawl_ids)} crawls.")
+    return path
 
 
 def download(spark: SparkSession, path: str, folder: str = "data/raw/wet") -> tuple[int, int]:
     """Fetch a manifest's files; returns the numbers of sampled and of fetched ones."""
     from pyspark.sql import functions as F
 
+    log = O.run_log("cc-download", M.run_id())
+    log.info("Loading manifest %s", path)
     rows = M.read_manifest(spark, path).withColumn("line", F.monotonically_increasing_id())
-    return rows.count(), M.download(download_names(rows, "line").orderBy("line"), folder)
+    sampled, fetched = rows.count(), M.download(download_names(rows, "line").orderBy("line"), folder, log)
+    log.info("Downloaded %d files", fetched)
+    print(f"Downloaded {fetched} WET files.")
+    print(f"Validation: sampled {sampled} files; downloaded {fetched} files.")
+    return sampled, fetched
 
 
 def run_scan(spark: SparkSession, cfg: ScanConfig, wet: str = "data/raw/wet") -> Path:
     """Scan all WET files and write corpus, top domains and summary; returns the summary's path."""
     run = M.run_id()
-    log = O.run_log("scan", f"reports/logs/cc_scan_{run}.log")
-    result = scan_wet(spark, wet, cfg).persisted()
-    O.write_corpus(result.kept, f"{cfg.out_dir}/cc_hits_{run}.parquet")
+    log = O.run_log("cc-scan", run)
+    log.info("Min chars %d, domain cap %d, window %d", cfg.min_chars, cfg.domain_cap, cfg.window)
+    result = scan_wet(spark, wet, cfg).stored()
+    corpus = f"{cfg.out_dir}/cc_pilot_corpus_{run}.parquet"
+    O.write_corpus(result.kept, corpus)
     top = O.write_rows(result.top(25).orderBy("rank"), ("registered_domain", "hits"), f"{cfg.out_dir}/cc_scan_top_domains_{run}.csv")
     out = O.write_summary(result.summary, str(top), f"{cfg.out_dir}/cc_scan_summary_{run}.csv")
-    result.hits.unpersist()
-    log.info("summary written to %s", out)
+    result.release()
+    for what, path in (("summary", out), ("top domains", top), ("corpus", corpus)):
+        log.info("Wrote %s %s", what, path)
+    told = O.read_summary(spark, str(out))
+    print("Scan complete: " + ", ".join(f"{k}={told[k]}" for k in ("docs_scanned", "docs_minlen", "hits_total", "unique_domains_hits")))
     return out
 
 
@@ -93,18 +114,17 @@ def main(argv: list[str] | None = None) -> int:
 
 def run_command(spark: SparkSession, cfg: ScanConfig, command: str, given: str | None = None) -> int:
     if command == "cc-sample":
-        print(sample(spark, cfg))
+        sample(spark, cfg)
     elif command == "cc-download":
         path = given or M.latest_manifest("data/manifests")
         if path is None:
-            print("no manifest found", file=sys.stderr)
+            print("No manifest found in data/manifests. Run cc-sample first.")
             return 1
-        sampled, fetched = download(spark, path)
-        print(f"sampled {sampled}, downloaded {fetched}")
+        download(spark, path)
     elif command == "cc-scan":
-        print(run_scan(spark, cfg))
+        run_scan(spark, cfg)
     else:
-        print(*export(spark, cfg.out_dir), sep="\n")
+        export(spark, cfg.out_dir)
     return 0
 
 

@@ -24,7 +24,8 @@ class ScanConfig:
     window: int = 200
     needle: str = "autism"
     patterns: tuple[Pattern, ...] = ()
-    seed: int = 123
+    #: Sampling needs one; a scan does not.
+    seed: int | None = None
     crawl_ids: tuple[str, ...] = ()
     files_per_crawl: int = 2
     out_dir: str = "data/interim"
@@ -55,7 +56,7 @@ def from_dict(raw: dict[str, Any]) -> ScanConfig:
         domain_cap=int(filters["domain_cap"]),
         window=int(filters["asd_disambiguation_window_chars"]),
         patterns=term_patterns(terms),
-        seed=int(project.get("seed", 123)),
+        seed=int(project["seed"]) if "seed" in project else None,
         crawl_ids=tuple(pilot.get("crawl_ids") or ()),
         files_per_crawl=int(sampling.get("wet_files_per_crawl", 2)),
         out_dir=str(project.get("out_dir", "data/interim")),

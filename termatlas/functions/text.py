@@ -16,7 +16,8 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACES}|{SPACES}$", "")
+    # a run is read once: it starts where no white space stands before it, and gives nothing back
+    return F.regexp_replace(text, f"^{SPACES}|(?<![{SPACE_CLASS}]){SPACES}+$", "")
 
 
 def first_split(text: Column, pattern: str) -> Column:

@@ -53,3 +53,26 @@ def hit_rows(docs: DataFrame, cfg: ScanConfig) -> DataFrame:
     rows = match_rows(docs, cfg)
     snippet = T.snippet(F.col("text"), F.col("start"), F.col("end"), cfg.window)
     return rows.withColumn("context_snippet", snippet).withColumn("text_len", F.length("text").cast("long")).drop("text")
+
+
+HIT = ("label_ord", "matched_term", "start", "end", "context_snippet")
+
+
+def with_hits(docs: DataFrame, cfg: ScanConfig) -> DataFrame:
+    """One narrow row a document, short ones included: docs' columns without the text, with text_len and its hits.
+
+    hits is an array of structs of HIT, uncapped and in pattern order; n_hits is its size.
+    """
+    sized = docs.withColumn("text_len", F.length("text").cast("long"))
+    matched = with_matches(sized.withColumn("text", F.when(F.col("text_len") >= cfg.min_chars, F.col("text"))), cfg)
+    hits = F.transform("matches", lambda m: F.struct(
+        m["ord"].alias("label_ord"), m["label"].alias("matched_term"), m["start"].alias("start"), m["end"].alias("end"),
+        T.snippet(F.col("text"), m["start"], m["end"], cfg.window).alias("context_snippet"),
+    ))
+    return matched.withColumn("hits", hits).withColumn("n_hits", F.size("hits").cast("long")).drop("text", "matches")
+
+
+def exploded_hits(rows: DataFrame) -> DataFrame:
+    """hit_rows from the rows of with_hits."""
+    kept = [c for c in rows.columns if c not in ("hits", "n_hits")]
+    return rows.select(*kept, F.explode("hits").alias("h")).select(*kept, *(F.col(f"h.{c}").alias(c) for c in HIT))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+import uuid
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from termatlas.functions.domains import with_registered_domain
@@ -12,11 +14,13 @@ from termatlas.functions.text import file_crawl, stable_seed
 from termatlas.operators import aggregates as A
 from termatlas.operators import matching
 from termatlas.operators import sampling as S
-from termatlas.operators.cap import cap_hits, capped_removed
-from termatlas.plans.scan import ScanResult, scan
+from termatlas.plans.scan import ScanResult, documents, scan
 from termatlas.plans.standin import CONFIG, corpus, table
+from termatlas.sources import manifest as M
 from termatlas.sources.manifest import latest_of_names
 from termatlas.sources.outputs import corpus_rows
+from termatlas.sources.shared import shared_root
+from termatlas.sources.wet import read_wet_from_store, write_wet
 
 SEED, STAMP = 123, "2026-01-01T00:00:00Z"
 
@@ -115,12 +119,12 @@ def summary_eav(spark, sf_dir):
 
 
 def hit_rate(spark, sf_dir):
-    r = result(spark, sf_dir)
+    r = result(spark, sf_dir).stored()
     return A.hit_rate(r.funnel, r.totals)
 
 
 def _shares(spark, sf_dir, k):
-    r = result(spark, sf_dir)
+    r = result(spark, sf_dir).stored()
     return A.with_share(r.top(25), r.totals.select("hits_total"), k)
 
 
@@ -199,7 +203,8 @@ def validate_counts(spark, sf_dir):
 
 
 def prevalence_by_crawl(spark, sf_dir):
-    return A.prevalence(corpus(spark, sf_dir), result(spark, sf_dir).kept, CONFIG.min_chars).select("crawl_id", "docs_minlen", "hits", "hit_rate")
+    r = result(spark, sf_dir).stored()
+    return A.prevalence(r.docs, r.kept, CONFIG.min_chars).select("crawl_id", "docs_minlen", "hits", "hit_rate")
 
 
 def hits_capped_by_document(spark, sf_dir):
@@ -215,11 +220,7 @@ def snippet_words(spark, sf_dir):
 
 
 def _folder(spark: SparkSession, label: str) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="termatlas-")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def corpus_roundtrip(spark, sf_dir):
@@ -238,6 +239,62 @@ def manifest_roundtrip(spark, sf_dir):
     return spark.read.schema(MANIFEST).option("mode", "FAILFAST").json(out)
 
 
+#: WET files that the stand-in corpus is dealt into for each crawl.
+WET_FILES = 8
+
+
+def wet_scan(spark, sf_dir):
+    """The stand-in corpus written as WET files and read back, with what the scan derives from a record."""
+    place = W.partitionBy("source_wet").orderBy("doc")
+    docs = corpus(spark, sf_dir).withColumnRenamed("record_idx", "doc")
+    docs = docs.withColumn("source_wet", F.format_string("%s_%03d.wet.gz", "crawl_id", F.pmod("doc", F.lit(WET_FILES)) + 1))
+    docs = docs.withColumn("record_idx", F.row_number().over(place) - 1).withColumn("warc_date", F.lit(STAMP))
+    folder = _folder(spark, "wet")
+    files = write_wet(docs, folder)
+    files.agg(F.sum("records")).collect()
+    rows = documents(read_wet_from_store(spark, f"{folder}/*.wet.gz"))
+    return rows.select(
+        "source_wet", "record_idx", "crawl_id", F.coalesce("url", F.lit("")).alias("url"), "warc_date", "registered_domain",
+        F.length("text").cast("long").alias("text_len"), F.md5("text").alias("text_md5"),
+    )
+
+
+def listing_paths(spark, sf_dir):
+    """Path listings with blank lines and white space around paths, written and read as a crawl's listing is."""
+    folder = _folder(spark, "listing")
+    lines = _paths(spark, sf_dir).where("line % 3 <> 0").select("crawl_id", F.concat(F.lit("  "), "path", F.lit("\t\u00a0")).alias("value"))
+    blank = _paths(spark, sf_dir).where("line % 5 = 0").select("crawl_id", F.lit(" \t").alias("value"))
+    lines.union(blank).repartition("crawl_id").write.partitionBy("crawl_id").option("compression", "gzip").text(folder)
+    crawls = sorted(r["crawl_id"] for r in spark.read.text(folder).select("crawl_id").distinct().collect())  # a few crawls
+    parts = [M.read_listing(spark, f"{folder}/crawl_id={c}", c).select("crawl_id", "path") for c in crawls]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def summary_roundtrip(spark, sf_dir):
+    """The summary written as Parquet rows, read back, and as the table's cells: labels and thousands."""
+    out = _folder(spark, "summary")
+    result(spark, sf_dir).summary.write.parquet(out)
+    rows = spark.read.parquet(out).where("metric <> 'hits_by_term'")
+    return rows.select("metric", "value", F.format_number(F.col("value").cast("long"), 0).alias("cell"))
+
+
+def top_domains_roundtrip(spark, sf_dir):
+    """The domain table's rows, with shares to four decimals as text, over a CSV file."""
+    out = _folder(spark, "top")
+    _shares(spark, sf_dir, 10).select("registered_domain", "hits", F.format_string("%.4f", "share").alias("cell")).write.option("header", True).csv(out)
+    return spark.read.schema("registered_domain string, hits long, cell string").option("header", True).csv(out)
+
+
+def boilerplate_snippets(spark, sf_dir):
+    return A.boilerplate_snippets(result(spark, sf_dir).kept, least=2)
+
+
+def evaluation(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("record_idx"), (F.col("quality") == 1).alias("wanted"))
+    docs = _long(spark, sf_dir).select("record_idx")
+    return A.evaluation(docs, result(spark, sf_dir).kept, labels, ("record_idx",))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -247,6 +304,7 @@ QUERIES = {
         top15_bars, hits_by_term_json, hits_by_term_decoded, ambiguous_rows, seeded_hit_sample, stable_seeds, reservoir_native,
         reservoir_exact, manifest_rows, manifest_roundtrip, download_names, latest_manifest, latest_run, validate_counts,
         corpus_roundtrip, prevalence_by_crawl, hits_capped_by_document, confident_documents, snippet_words,
+        wet_scan, listing_paths, summary_roundtrip, top_domains_roundtrip, boilerplate_snippets, evaluation,
     )
 }
 
@@ -282,7 +340,7 @@ def _ctes() -> str:
  t as (select registered_domain, count(*) as hits, min(record_idx * 100 + label_ord) as seen from k where registered_domain <> '' group by 1),
  top as (select row_number() over (order by hits desc, seen) as rank, registered_domain, hits from t order by hits desc, seen limit 25),
  bt as (select matched_term, count(*) as hits, min(record_idx * 100 + label_ord) as seen from k group by 1),
- js as (select '{{' || string_agg('"' || matched_term || '":' || hits, ',' order by seen) || '}}' as j from bt)
+ js as (select '{{' || string_agg('"' || matched_term || '": ' || hits, ', ' order by seen) || '}}' as j from bt)
 """
 
 
@@ -347,6 +405,18 @@ def oracle_sql() -> dict[str, str]:
     out["hits_capped_by_document"] = c + f", b as (select *, dense_rank() over (partition by crawl_id, registered_domain order by record_idx) as dr from h) select record_idx, matched_term from b where registered_domain = '' or dr <= {cap}"
     out["confident_documents"] = c + "select record_idx, count(*) as n_terms from k group by 1 having count(*) >= 2"
     out["snippet_words"] = c + ", w as (select crawl_id, unnest(string_split(lower(context_snippet), ' ')) as word from k) select crawl_id, word, count(*) as n from w where word <> '' group by 1, 2"
+    out["wet_scan"] = f"""with {VIEW}, f as (select *, format('{{}}_{{:03d}}.wet.gz', crawl_id, record_idx % {WET_FILES} + 1) as file from v)
+ select file as source_wet, row_number() over (partition by file order by record_idx) - 1 as record_idx, crawl_id, coalesce(url, '') as url, '{STAMP}' as warc_date,
+ registered_domain, length(coalesce(text, '')) as text_len, md5(coalesce(text, '')) as text_md5 from f"""
+    out["listing_paths"] = f"with {PATHS} select crawl_id, path from p where line % 3 <> 0"
+    out["summary_roundtrip"] = f"select metric, value, format('{{:,}}', value::bigint) as cell from ({out['summary_eav']}) where metric <> 'hits_by_term'"
+    out["top_domains_roundtrip"] = f"select registered_domain, hits, format('{{:.4f}}', share) as cell from ({out['top10_share']})"
+    out["boilerplate_snippets"] = c + """, b as (select registered_domain, context_snippet, count(distinct (source_wet, record_idx)) as docs, count(*) as hits from k where registered_domain <> '' group by 1, 2)
+ select * from b where docs >= 2"""
+    out["evaluation"] = c + """, j as (select d.record_idx, l.quality = 1 as wanted, exists (select 1 from k where k.record_idx = d.record_idx) as hit from d join labels l on l.doc_id = d.record_idx)
+ select count(*) filter (hit and wanted) as true_positive, count(*) filter (hit and not wanted) as false_positive, count(*) filter (not hit and wanted) as false_negative,
+ count(*) filter (not hit and not wanted) as true_negative, coalesce(count(*) filter (hit and wanted) / nullif(count(*) filter (hit), 0)::double, 0) as precision,
+ coalesce(count(*) filter (hit and wanted) / nullif(count(*) filter (wanted), 0)::double, 0) as recall from j"""
     out["corpus_roundtrip"] = out["corpus_columns"]
     out["manifest_roundtrip"] = out["manifest_rows"]
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -12,7 +13,8 @@ from termatlas.functions.domains import with_registered_domain
 from termatlas.functions.text import file_crawl
 from termatlas.operators import aggregates as A
 from termatlas.operators.cap import cap_hits, capped_removed
-from termatlas.operators.matching import hit_rows, long_enough
+from termatlas.operators.matching import exploded_hits, hit_rows, long_enough, with_hits
+from termatlas.sources.shared import shared_root
 from termatlas.sources.wet import read_wet
 
 
@@ -23,10 +25,15 @@ def documents(raw: DataFrame) -> DataFrame:
 
 @dataclass
 class ScanResult:
-    """Frames of one scan; nothing runs until one of them is used."""
+    """Frames of one scan; nothing runs until one of them is used.
+
+    Frames of one kind read the documents once. Outputs that need several (the summary, rates over all documents) take
+    stored(), so that texts are read and matched once whatever the number of outputs.
+    """
 
     docs: DataFrame
     cfg: ScanConfig
+    path: str | None = None
 
     @cached_property
     def hits(self) -> DataFrame:
@@ -57,15 +64,28 @@ class ScanResult:
 
     @property
     def summary(self) -> DataFrame:
-        labels = tuple(p.label for p in self.cfg.patterns)
-        return A.summary(self.docs, self.hits, self.kept, self.cfg.min_chars, self.cfg.domain_cap, labels, self.cfg.order)
-
-    def persisted(self) -> ScanResult:
-        """The same result with its hits (a small part of the documents) kept for several outputs."""
-        out = ScanResult(self.docs, self.cfg)
-        out.__dict__["hits"] = self.hits.persist()
+        own = self.stored()
+        return A.summary(own.docs, own.kept, self.cfg.min_chars, tuple(p.label for p in self.cfg.patterns), self.cfg.order)
+
+    def stored(self) -> ScanResult:
+        """The same result over one narrow row a document, without texts, written below the shared folder."""
+        if self.path:
+            return self
+        spark = self.docs.sparkSession
+        path = f"{shared_root(spark)}/scan-{uuid.uuid4().hex[:12]}"
+        with_hits(self.docs, self.cfg).write.parquet(path)
+        rows = spark.read.parquet(path)
+        out = ScanResult(rows.drop("hits"), self.cfg, path)
+        out.__dict__["hits"] = exploded_hits(rows)
         return out
 
+    def release(self) -> None:
+        """Delete what stored() wrote, once nothing reads it any more."""
+        if self.path:
+            spark = self.docs.sparkSession
+            p = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
 
 def scan(docs: DataFrame, cfg: ScanConfig) -> ScanResult:
     """docs: crawl_id, source_wet, record_idx, url, registered_domain, warc_date, text."""

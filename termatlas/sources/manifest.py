@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import shutil
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from termatlas.functions.text import strip
 
+#: The manifest's fields, the listings' place, and the names of a run's files.
 MANIFEST = "crawl_id string, sampled_wet_path string, source_url string, seed string, timestamp string"
 LISTING = "https://data.commoncrawl.org/crawl-data/{crawl}/wet.paths.gz"
 RUN_FILE = re.compile(r".*_(\d{8}_\d{6})\.(csv|parquet)$")
@@ -74,10 +76,12 @@ def latest_of_names(names: DataFrame, column: str, pattern: str) -> DataFrame:
     return names.where(got != "").agg(F.max(got).alias("latest"))
 
 
-def download(rows: DataFrame, folder: str) -> int:
+def download(rows: DataFrame, folder: str, log: logging.Logger | None = None) -> int:
     """Fetch named manifest rows one after the other; returns how many."""
     n = 0
     for r in rows.toLocalIterator():
+        if log:
+            log.info("Downloading %s -> %s", r["source_url"], Path(folder) / r["file_name"])
         fetch(r["source_url"], Path(folder) / r["file_name"])
         n += 1
     return n

@@ -11,6 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The corpus' columns in order; below, the tables' labels, the CSV files' headers and the log's format.
 CORPUS = ("crawl_id", "source_wet", "url", "registered_domain", "warc_date", "matched_term", "context_snippet", "text_len")
 
 
@@ -113,16 +114,18 @@ def bar_chart(counts: dict[str, int], path: str) -> Path | None:
     return target
 
 
-def run_log(name: str, path: str) -> logging.Logger:
-    """A logger to stderr and to a file of its own."""
-    log = logging.getLogger(f"{name}.{path}")
+def run_log(command: str, stamp: str, folder: str = "reports/logs") -> logging.Logger:
+    """A command's logger, to stderr and to a file of the run."""
+    path = Path(folder) / f"{command}_{stamp}.log"
+    path.parent.mkdir(parents=True, exist_ok=True)
+    log = logging.getLogger(f"{command}.{path}")
     log.setLevel(logging.INFO)
     log.propagate = False
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
     for old in list(log.handlers):
         old.close()
         log.removeHandler(old)
     for handler in (logging.StreamHandler(sys.stderr), logging.FileHandler(path, encoding="utf-8")):
         handler.setFormatter(logging.Formatter("%(asctime)s | %(levelname)s | %(message)s"))
         log.addHandler(handler)
+    log.info("Logging to %s", path)
     return log

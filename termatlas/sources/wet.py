@@ -5,12 +5,16 @@ from __future__ import annotations
 import glob
 import io
 import os
+import re
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .shared import open_shared
 from .warc import read_records
 
 SCHEMA = "source_wet string, record_idx long, url string, warc_date string, text string"
@@ -51,7 +55,7 @@ class WetReader(DataSourceReader):
     """A partition for each file, in sorted order; gzip cannot be split."""
 
     def __init__(self, options: dict):
-        path = options["path"].removeprefix("file://")
+        path = re.sub(r"^file:/*(?=/)", "", options["path"])
         self.files = sorted(glob.glob(os.path.join(path, "*.wet.gz") if os.path.isdir(path) else path))
         if not self.files:
             raise FileNotFoundError(f"no WET files at {path}")
@@ -94,3 +98,46 @@ def read_wet_from_store(spark: SparkSession, path: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(path).selectExpr("element_at(split(path, '/'), -1) as name", "content")
     return files.mapInArrow(parse, SCHEMA)
+
+
+def conversion(url: str | None, date: str | None, text: str) -> bytes:
+    """A conversion record as a gzip member."""
+    block = text.encode("utf-8")
+    fields = [("WARC-Type", "conversion"), *((("WARC-Target-URI", url),) if url else ()), *((("WARC-Date", date),) if date else ()), ("Content-Length", str(len(block)))]
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(b"WARC/1.0\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + b"\r\n\r\n") + z.flush()
+
+
+def write_wet(docs: DataFrame, folder: str) -> DataFrame:
+    """Write documents (source_wet, record_idx, url, warc_date, text) as WET files; returns (source_wet, records).
+
+    A file is written by one task, in record order, and gets its name when it is whole, so that a lost task can run
+    again. A null text is an empty one; null urls and dates are left out.
+    """
+
+    def write(stream):
+        name = out = None
+        n = 0
+
+        def close():
+            out.close()
+            fs.move(f"{at}.{attempt}", at)
+            return pa.RecordBatch.from_pydict({"source_wet": [name], "records": [n]}, schema=pa.schema([("source_wet", pa.string()), ("records", pa.int64())]))
+
+        attempt = uuid.uuid4().hex[:8]
+        for batch in stream:
+            for file, url, date, text in zip(*(batch.column(c).to_pylist() for c in ("source_wet", "url", "warc_date", "text")), strict=True):
+                if file != name:
+                    if out is not None:
+                        yield close()
+                    name, n = file, 0
+                    fs, at = open_shared(f"{folder}/{name}")
+                    fs.create_dir(at.rpartition("/")[0], recursive=True)
+                    out = fs.open_output_stream(f"{at}.{attempt}", compression=None)
+                out.write(conversion(url, date, text or ""))
+                n += 1
+        if out is not None:
+            yield close()
+
+    ordered = docs.repartition("source_wet").sortWithinPartitions("source_wet", "record_idx")
+    return ordered.select("source_wet", "url", "warc_date", "text").mapInArrow(write, "source_wet string, records long")

@@ -150,7 +150,7 @@ def test_listing_strips_unicode_space(spark, tmp_path):
     assert [r["path"] for r in M.read_listing(spark, str(path), "c").orderBy("line").collect()] == ["x/1", "x/2"]
 
 
-def test_command_line_end_to_end(spark, wet, tmp_path, monkeypatch):
+def test_command_line_end_to_end(spark, wet, tmp_path, monkeypatch, capsys):
     monkeypatch.chdir(tmp_path)
     cfg = from_dict({
         "project": {"seed": 123, "out_dir": str(tmp_path / "interim")}, "pilot": {"crawl_ids": ["CC-MAIN-2016-44"]}, "sampling": {"wet_files_per_crawl": 1},
@@ -170,7 +170,15 @@ def test_command_line_end_to_end(spark, wet, tmp_path, monkeypatch):
     summary = O.read_summary(spark, str(out))
     assert summary["docs_scanned"] == "3" and summary["hits_total"] == "4"
     assert json.loads(summary["hits_by_term"]) == {"adhd_patterns[0]": 2, "autism_patterns[0]": 1, "asd_pattern": 1}
-    corpus = O.read_corpus(spark, next(str(p) for p in (tmp_path / "interim").glob("cc_hits_*")))
+    assert json.dumps(json.loads(summary["hits_by_term"])) == summary["hits_by_term"]
+    told = capsys.readouterr().out
+    assert "Sampled 1 WET files across 1 crawls." in told and "Downloaded 1 WET files." in told and "Validation: sampled 1 files; downloaded 1 files." in told
+    assert "Scan complete: docs_scanned=3, docs_minlen=3, hits_total=4, unique_domains_hits=2" in told
+    logs = {p.name.split("_")[0]: p.read_text() for p in (tmp_path / "reports" / "logs").iterdir()}
+    assert set(logs) == {"cc-sample", "cc-download", "cc-scan"} and "Wrote corpus" in logs["cc-scan"] and "| INFO | Downloading" in logs["cc-download"]
+    with pytest.raises(KeyError, match="project.seed"):
+        cli.sample(spark, cfg.with_(seed=None))
+    corpus = O.read_corpus(spark, next(str(p) for p in (tmp_path / "interim").glob("cc_pilot_corpus_*.parquet")))
     assert tuple(corpus.columns) == O.CORPUS and corpus.where("url = ''").count() == 1
     tables = cli.export(spark, str(tmp_path / "interim"), str(tmp_path / "reports"))
     text = tables[0].read_text() + tables[1].read_text()
