@@ -270,7 +270,7 @@ def near_duplicates(
 
     component_id is the smallest id reachable by links of at most `radius` differing bits; kept marks that
     document. Null and empty texts share fingerprint zero and so one component; repeated texts and ids are
-    ordinary rows; an empty table gives an empty result; other columns of docs are ignored.
+    ordinary rows; null ids count only in components without any other, whose component_id is null; an empty table gives an empty result; other columns of docs are ignored.
     """
     ws = Workspace(docs.sparkSession, "simhash")
     own = ws.store(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
@@ -286,7 +286,7 @@ def near_duplicates(
         F.col("id").alias(id_col),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
-        (F.col("id") == F.col("component_id")).alias("kept"),
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
 
 
@@ -371,7 +371,7 @@ def similar_rows(key: np.ndarray, f: np.ndarray, most: int, dense: int = 512) ->
     starts, stops = np.concatenate(([0], change)), np.concatenate((change, [n]))
     size = stops - starts
 
-    def near(a, b):
+    def near(a, b):  # a pair at 0.8 or more exceeds half of the allowance in one word by six standard deviations
         close = np.flatnonzero(popcount(f[a, 0] ^ f[b, 0]) <= most // 2)
         return close[popcount(f[a[close]] ^ f[b[close]]).sum(axis=1, dtype=np.int64) <= most]
 
@@ -428,15 +428,16 @@ def jaccard_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
     return comp
 
 
-def verified_links(members: DataFrame, similarity: float, block: int) -> DataFrame:
+def verified_links(ws: Workspace, members: DataFrame, sizes: DataFrame, similarity: float, block: int) -> DataFrame:
     """Links (u, v) that join members (component, node, s) as all pairs of a component with that similarity do.
 
-    Blocks of a component meet pairwise, each pair in a task of its own; a spanning forest leaves it.
+    Components of more than `block` members, listed in sizes (component, n), are dealt into blocks that meet pairwise,
+    each pair in a task of its own; a spanning forest leaves it. The few of that size are looked up without moving sets.
     """
-    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    large = ws.store(sizes.where(F.col("n") > block), "large")
     dealt = (
-        members.join(sizes, "component")
-        .withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+        members.join(large, "component", "left")
+        .withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block), F.lit(1)).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("long"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("component", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).alias("task"), "node", "s")
@@ -457,33 +458,35 @@ def verified_links(members: DataFrame, similarity: float, block: int) -> DataFra
     return map_arrow(dealt.repartition("component", "task").sortWithinPartitions("component", "task"), "u long, v long", verify)
 
 
-def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8,
-    recall: float = 0.99, block: int = 8192, verify_block: int = 1024,
+def _similar(
+    docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, recall: float = 0.99, block: int = 8192, verify_block: int = 1024,
 ) -> DataFrame:
-    """(id, component_id, kept): near copies by the Jaccard similarity of their sets of `shingle` words.
-
-    256-bit sketches only propose: groups of bits and thresholds are chosen so that a pair at `similarity` meets with
-    the probability `recall`, and sketches of a candidate differ in at most the bits that all but one in 700 such pairs
-    stay within. Inside each group that candidates connect, texts link if their sets have the similarity. Texts without
-    words are copies of each other; repeated rows share a component; an empty table gives an empty result; other
-    columns of docs are ignored.
-    """
+    """(id, th, component_id, kept) of similar_documents; th is the text's hash."""
     ws = Workspace(docs.sparkSession, "similar")
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     names = [f"f{k}" for k in range(WORDS)]
 
+    def sets_of(part):
+        sets = [shingles(x, shingle) for x in as_bytes(part.column("text"))]
+        return sets, np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in sets], dtype=np.uint64).view(np.int64)
+
     def make(batches):
         for batch in batches:
             for part in slices(batch, "text"):
-                sets = [shingles(x, shingle) for x in as_bytes(part.column("text"))]
+                sets, node = sets_of(part)
                 f = np.array([sketch(h) for h in sets], dtype=np.uint64).view(np.int64)
-                s = [h.tobytes() for h in sets]
-                node = np.array([xxhash.xxh64_intdigest(x) for x in s], dtype=np.uint64).view(np.int64)
-                yield {"id": part.column("id"), "node": node, "s": s} | {c: np.ascontiguousarray(f[:, k]) for k, c in enumerate(names)}
+                yield {"id": part.column("id"), "th": part.column("th"), "node": node} | {c: np.ascontiguousarray(f[:, k]) for k, c in enumerate(names)}
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    own = ws.store(map_arrow(rows, f"id {kind}, node long, s binary, " + ", ".join(f"{c} long" for c in names), make), "sketches")
+    def make_sets(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets, node = sets_of(part)
+                own = np.flatnonzero(node == part.column("node").to_numpy())  # another row of the id may hold another text
+                yield {"component": part.column("component").take(pa.array(own)), "node": node[own], "s": [sets[i].tobytes() for i in own]}
+
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    hashed = rows.select("id", F.xxhash64("text").alias("th"), "text")
+    own = ws.store(map_arrow(hashed, f"id {kind}, th long, node long, " + ", ".join(f"{c} long" for c in names), make), "sketches")
     distinct = ws.store(own.groupBy("node").agg(F.min("id").alias("least"), *(F.min(c).alias(c) for c in names)), "distinct")
 
     stats = [bit_statistics(distinct.select(F.col(c).alias("fp"))) for c in names]
@@ -534,18 +537,40 @@ def similar_documents(
 
     links = map_arrow(dealt.repartition("key", "task").sortWithinPartitions("key", "task"), "u long, v long", compare)
     groups = ws.store(connected_components(ws, links), "candidates")
-    some = own.select("node", "s").join(groups, "node").groupBy("component", "node").agg(F.first("s").alias("s"))
-    joined = ws.store(connected_components(ws, verified_links(ws.store(some, "sets"), similarity, verify_block)), "components")
+    sizes = ws.store(groups.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+    # sets are as long as texts: they are made again for one text of each candidate, and none is stored for the others
+    wanted = ws.store(groups.join(distinct, "node").select(F.col("least").alias("wanted"), "node", "component"), "wanted")
+    texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("component", "node", "text")
+    members = map_arrow(texts, "component long, node long, s binary", make_sets)
+    members = ws.store(members.groupBy("component", "node").agg(F.first("s").alias("s")), "sets")
+    joined = ws.store(connected_components(ws, verified_links(ws, members, sizes, similarity, verify_block)), "components")
     named = distinct.select("node", "least").join(joined, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = ws.store(named.join(first, "component").select("node", "component_id"), "classes")
-    ids = ws.store(own.select("id", "node"), "ids")
-    ws.keep_only(ids, classes)
-    return ids.join(classes, "node").select(F.col("id").alias(id_col), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+    ws.keep_only(own, classes)
+    return own.select("id", "th", "node").join(classes, "node").select("id", "th", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """(id, component_id, kept): near copies by the Jaccard similarity of their sets of `shingle` words.
+
+    256-bit sketches only propose: groups of bits and thresholds are chosen so that a pair at `similarity` meets with
+    the probability `recall`, and sketches of a candidate differ in at most the bits that all but one in 700 such pairs
+    stay within. Inside each group that candidates connect, texts link if their sets have the similarity. Texts without
+    words are copies of each other; repeated rows share a component; component_id is the smallest id that is not null,
+    and null ids are kept only in groups without any other; an empty table gives an empty result; other columns of docs
+    are ignored.
+    """
+    found = _similar(docs, id_col, text_col, **options)
+    return found.select(F.col("id").alias(id_col), "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without all but the smallest id of each group of similar_documents; columns as in docs."""
-    gone = similar_documents(docs, id_col, text_col, **options).where("not kept").select(F.col(id_col).alias("__gone"))
+    """docs without all but the smallest id of each group of similar_documents; columns as in docs.
+
+    Rows of one id and one text stay or go together, and rows of one id and different texts are judged apart.
+    """
+    gone = _similar(docs, id_col, text_col, **options).where("not kept").select(F.col("id").alias("__gone"), F.col("th").alias("__th"))
     names = [f"`{c}`" for c in docs.columns]
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti").select(*names)
+    same = docs[id_col].eqNullSafe(gone["__gone"]) & (F.xxhash64(docs[text_col].cast("string")) == gone["__th"])
+    return docs.join(gone, same, "left_anti").select(*names)
