@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,26 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termatlas.sources.shared import open_shared, shared_root  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_OWN_ROOT: list[str] = []
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a local one of this process only where that is unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not _OWN_ROOT:
-            _OWN_ROOT.append(tempfile.mkdtemp(prefix="termatlas-"))
-        root = f"file://{_OWN_ROOT[0]}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path)
-    return found.toString().rstrip("/")  # with its scheme, so that Spark and Python mean the same place
-
-
 class Workspace:
     """A folder below the shared root for the intermediate tables of one operator call."""
 
@@ -44,10 +30,16 @@ class Workspace:
         self._n += 1
         return f"{self.path}/{self._n:03d}-{name}"
 
-    def store(self, df: DataFrame, name: str) -> DataFrame:
-        """Write as Parquet and read again: cuts lineage and outlives lost executors."""
+    def store(self, df: DataFrame, name: str, large: bool = False) -> DataFrame:
+        """Write as Parquet and read again: cuts lineage and outlives lost executors.
+
+        After a large one the driver collects its garbage, upon which Spark deletes the shuffle files behind it, which
+        nothing can read any more; else they would fill disks until a collection happens by itself.
+        """
         out = self.child(name)
         df.write.parquet(out)
+        if large:
+            self.spark._jvm.System.gc()
         stored = self.spark.read.schema(df.schema).parquet(out)
         stored.stored_at = out
         self.stored.add(out)
@@ -116,17 +108,6 @@ class RecentCache(dict):
         return value
 
 
-def open_shared(uri: str):
-    """(filesystem, path) of a URI in the shared folder, for executors' own file formats."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[len("file:"):]
-    return fs.FileSystem.from_uri(uri)
-
-
 def one_row_tasks(rows: DataFrame, by: str) -> DataFrame:
     """Deal a small table of files to a task a row; an explicit number keeps the tasks apart."""
     n = max(1, rows.count())

@@ -1,11 +1,13 @@
 """Removal of long byte strings that occur more than once, over a sparse suffix array.
 
 A suffix is taken wherever a window of the text has its minimal `gram`-byte hash (winnowing), so that every string
-of `span` bytes contains a sampled suffix at the same offset wherever it occurs. Suffixes whose surroundings are
-equal on both sides are settled by counting. The rest are range-partitioned by their leading bytes with sampled
+of `span` bytes or more contains a sampled suffix at the same offset wherever it occurs. Suffixes whose surroundings
+are equal on both sides are settled by counting. The rest are range-partitioned by their leading bytes with sampled
 splitters; each bucket is sorted by multikey quicksort forwards and backwards, and the two arrays of common-prefix
-lengths tell which windows of `span` bytes around a suffix start somewhere else too. Groups of suffixes that are
-too large for one bucket are compared across buckets by counting their windows.
+lengths tell which windows of `span` bytes around a suffix start somewhere else too. Suffixes with equal leading grams
+always share a bucket, so that buckets need no comparison across their boundaries; groups of suffixes that are too
+large for one bucket are counted by their windows, each a key of its own. One array serves several spans: the
+shortest sets the sample, the longest the surroundings.
 """
 
 from __future__ import annotations
@@ -60,22 +62,23 @@ def sampled_positions(raw: bytes, span: int, gram: int) -> np.ndarray:
     return at[np.concatenate(([True], at[1:] != at[:-1]))]
 
 
-def suffixes(docs: DataFrame, span: int, gram: int) -> DataFrame:
+def suffixes(docs: DataFrame, spans: tuple[int, ...], gram: int) -> DataFrame:
     """(id, th, pos, h, ctx): sampled suffixes, the hash of their leading gram and of all windows around them."""
     kind = docs.schema["id"].dataType.simpleString()
+    least, most = min(spans), max(spans)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
                 rows, pos, h, ctx = [], [], [], []
                 for i, raw in enumerate(as_bytes(part.column("text"))):
-                    at = sampled_positions(raw, span, gram).tolist()
+                    at = sampled_positions(raw, least, gram).tolist()
                     rows += [i] * len(at)
                     pos += at
                     for p in at:
-                        a = max(0, p - (span - gram))
+                        a = max(0, p - (most - gram))
                         h.append(xxhash.xxh3_64_intdigest(raw[p : p + gram]))
-                        ctx.append(xxhash.xxh3_64_intdigest(raw[a : p + span], seed=p - a))
+                        ctx.append(xxhash.xxh3_64_intdigest(raw[a : p + most], seed=p - a))
                 take = pa.array(rows, type=pa.int32())
                 yield {
                     "id": part.column("id").take(take),
@@ -88,6 +91,12 @@ def suffixes(docs: DataFrame, span: int, gram: int) -> DataFrame:
     return map_arrow(docs.select("id", "th", "text"), f"id {kind}, th long, pos int, h long, ctx long", run)
 
 
+def same_rows(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs (id, th, ...) joined with found (id, th, ...), without found's keys; a null id equals a null id."""
+    found = found.withColumnsRenamed({"id": "__id", "th": "__th"})
+    return docs.join(found, docs["id"].eqNullSafe(found["__id"]) & (docs["th"] == found["__th"]), how).drop("__id", "__th")
+
+
 def contexts(docs: DataFrame, wanted: DataFrame, span: int, gram: int) -> DataFrame:
     """The bytes on both sides of the wanted suffixes (id, th, pos, h)."""
     kind = docs.schema["id"].dataType.simpleString()
@@ -108,7 +117,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, span: int, gram: int) -> DataFr
                 take = pa.array(rows, type=pa.int32())
                 yield {"id": part.column("id").take(take), "th": part.column("th").take(take), "pos": pos, "h": h, "back": back, "ahead": ahead}
 
-    joined = docs.join(lists, ["id", "th"]).select("id", "th", "text", "at")
+    joined = same_rows(docs, lists, "inner").select("id", "th", "text", "at")
     return map_arrow(joined, f"id {kind}, th long, pos int, h long, back binary, ahead binary", run)
 
 
@@ -158,74 +167,75 @@ def multikey_sort(tokens: np.ndarray, group: np.ndarray, length: np.ndarray) ->
     return order, common
 
 
-def repeated_windows(h: np.ndarray, back: list[bytes], ahead: list[bytes], span: int, gram: int) -> tuple:
-    """For each suffix the least and greatest d such that the window from d bytes before it starts elsewhere too.
-
-    -1 where there is none. Rows with equal h share their leading gram.
-    """
-    n = h.size
-    low, high = np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+def repeated_windows(h: np.ndarray, back: list[bytes], ahead: list[bytes], spans: tuple[int, ...], gram: int) -> list[tuple]:
+    """For each span, and for each suffix, the least and greatest d such that the window from d bytes before it starts
+    elsewhere too; -1 where there is none. Rows with equal h share their leading gram."""
+    n, longest = h.size, max(spans)
     group = np.unique(h, return_inverse=True)[1]
     len_r = np.fromiter(map(len, ahead), np.int64, n)
     len_l = np.fromiter(map(len, back), np.int64, n)
-    order_r, lcp_r = multikey_sort(as_tokens(ahead, span), group, len_r)
-    order_l, lcp_l = multikey_sort(as_tokens([x[::-1] for x in back], span - gram), group, len_l)
+    order_r, lcp_r = multikey_sort(as_tokens(ahead, longest), group, len_r)
+    order_l, lcp_l = multikey_sort(as_tokens([x[::-1] for x in back], longest - gram), group, len_l)
 
     def nearest(order, lcp):
         out = np.zeros(n, dtype=np.int64)
         out[order] = np.maximum(lcp, np.append(lcp[1:], 0))
         return out
 
-    # windows need a partner on either side: rows whose nearest partners fall short can be left out
-    live = nearest(order_r, lcp_r) + nearest(order_l, lcp_l) >= span
-    if not live.any():
-        return low, high
-    for d in range(span - gram + 1):
-        right, left = np.empty(n, np.int64), np.empty(n, np.int64)
-        right[order_r] = np.cumsum(lcp_r < span - d)
-        left[order_l] = np.cumsum(lcp_l < d)
-        if d == 0:
-            left = group
-        rows = np.flatnonzero(live & (len_r >= span - d) & (len_l >= d))
-        if rows.size < 2:
-            continue
-        key = right[rows] * (n + 1) + left[rows]
-        by = np.argsort(key, kind="stable")
-        same = key[by][1:] == key[by][:-1]
-        twice = np.zeros(rows.size, dtype=bool)
-        twice[by[1:]] |= same
-        twice[by[:-1]] |= same
-        hit = rows[twice]
-        high[hit] = d
-        first = hit[low[hit] < 0]
-        low[first] = d
-    return low, high
-
-
-def compare_buckets(rows: DataFrame, span: int, gram: int) -> DataFrame:
-    """(id, th, a, b) spans around suffixes whose group fits a bucket."""
+    reach = nearest(order_r, lcp_r) + nearest(order_l, lcp_l)
+    found = []
+    for span in spans:
+        low, high = np.full(n, -1, dtype=np.int64), np.full(n, -1, dtype=np.int64)
+        found.append((low, high))
+        live = reach >= span  # windows need a partner on either side: rows whose nearest fall short are left out
+        for d in range(span - gram + 1 if live.any() else 0):
+            right, left = np.empty(n, np.int64), np.empty(n, np.int64)
+            right[order_r] = np.cumsum(lcp_r < span - d)
+            left[order_l] = np.cumsum(lcp_l < d)
+            if d == 0:
+                left = group
+            rows = np.flatnonzero(live & (len_r >= span - d) & (len_l >= d))
+            if rows.size < 2:
+                continue
+            key = right[rows] * (n + 1) + left[rows]
+            by = np.argsort(key, kind="stable")
+            same = key[by][1:] == key[by][:-1]
+            twice = np.zeros(rows.size, dtype=bool)
+            twice[by[1:]] |= same
+            twice[by[:-1]] |= same
+            hit = rows[twice]
+            high[hit] = d
+            first = hit[low[hit] < 0]
+            low[first] = d
+    return found
+
+
+def compare_buckets(rows: DataFrame, spans: tuple[int, ...], gram: int) -> DataFrame:
+    """(id, th, span, a, b) around suffixes whose group fits a bucket."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
         for t in runs_by_key(batches, ["h"], 1 << 14):
             pos = t.column("pos").to_numpy()
-            low, high = repeated_windows(t.column("h").to_numpy(), t.column("back").to_pylist(), t.column("ahead").to_pylist(), span, gram)
-            hit = np.flatnonzero(low >= 0)
-            take = pa.array(hit)
-            yield {
-                "id": t.column("id").combine_chunks().take(take),
-                "th": t.column("th").combine_chunks().take(take),
-                "a": pos[hit] - high[hit],
-                "b": pos[hit] - low[hit] + span,
-            }
+            found = repeated_windows(t.column("h").to_numpy(), t.column("back").to_pylist(), t.column("ahead").to_pylist(), spans, gram)
+            for span, (low, high) in zip(spans, found, strict=True):
+                hit = np.flatnonzero(low >= 0)
+                take = pa.array(hit)
+                yield {
+                    "id": t.column("id").combine_chunks().take(take),
+                    "th": t.column("th").combine_chunks().take(take),
+                    "span": np.full(hit.size, span),
+                    "a": pos[hit] - high[hit],
+                    "b": pos[hit] - low[hit] + span,
+                }
 
     lead = F.substring("ahead", 1, 16)
     dealt = rows.withColumn("lead", lead).repartitionByRange("lead", "h").sortWithinPartitions("lead", "h")
-    return map_arrow(dealt.select("id", "th", "pos", "h", "back", "ahead"), f"id {kind}, th long, a int, b int", run)
+    return map_arrow(dealt.select("id", "th", "pos", "h", "back", "ahead"), f"id {kind}, th long, span int, a int, b int", run)
 
 
-def compare_windows(ws: Workspace, rows: DataFrame, span: int, gram: int) -> DataFrame:
-    """The same spans for groups of any size: each window is a key of its own, counted with map-side sums."""
+def compare_windows(ws: Workspace, rows: DataFrame, spans: tuple[int, ...], gram: int) -> DataFrame:
+    """The same for groups of any size: each window is a key of its own, counted with map-side sums."""
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -234,53 +244,54 @@ def compare_windows(ws: Workspace, rows: DataFrame, span: int, gram: int) -> Dat
                 out = []
                 for i, (p, back, ahead) in enumerate(zip(part.column("pos").to_pylist(), part.column("back").to_pylist(), part.column("ahead").to_pylist(), strict=True)):
                     whole = back + ahead
-                    for s in range(0, min(len(back), len(whole) - span) + 1):
-                        w = whole[s : s + span]
-                        if len(w) == span:
-                            digest = xxhash.xxh3_128_intdigest(w)
-                            out.append((i, p, len(back) - s, digest >> 64, digest & ((1 << 64) - 1)))
+                    for span in spans:
+                        for s in range(max(0, len(back) - (span - gram)), min(len(back), len(whole) - span) + 1):
+                            digest = xxhash.xxh3_128_intdigest(whole[s : s + span])
+                            out.append((i, p, span, len(back) - s, digest >> 64, digest & ((1 << 64) - 1)))
                 if not out:
                     continue
-                i, p, d, hi, lo = zip(*out, strict=True)
+                i, p, span, d, hi, lo = zip(*out, strict=True)
                 take = pa.array(i, type=pa.int32())
                 yield {
-                    "id": part.column("id").take(take), "th": part.column("th").take(take), "pos": p, "d": d,
+                    "id": part.column("id").take(take), "th": part.column("th").take(take), "pos": p, "span": span, "d": d,
                     "w1": pa.array(np.array(hi, dtype=np.uint64).view(np.int64)),
                     "w2": pa.array(np.array(lo, dtype=np.uint64).view(np.int64)),
                 }
 
-    windows = map_arrow(rows.select("id", "th", "pos", "back", "ahead"), f"id {kind}, th long, pos int, d int, w1 long, w2 long", run)
+    windows = map_arrow(rows.select("id", "th", "pos", "back", "ahead"), f"id {kind}, th long, pos int, span int, d int, w1 long, w2 long", run)
     windows = ws.store(windows, "windows")
     # d belongs to the key: suffixes inside one window name it at different d, and that is one occurrence
-    twice = windows.groupBy("w1", "w2", "d").count().where("count > 1").select("w1", "w2", "d")
-    hit = windows.join(twice, ["w1", "w2", "d"]).groupBy("id", "th", "pos").agg(F.min("d").alias("low"), F.max("d").alias("high"))
-    return hit.select("id", "th", (F.col("pos") - F.col("high")).alias("a"), (F.col("pos") - F.col("low") + span).alias("b"))
+    key = ["span", "w1", "w2", "d"]
+    twice = windows.groupBy(*key).count().where("count > 1").select(*key)
+    hit = windows.join(twice, key, "left_semi").groupBy("id", "th", "pos", "span").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    return hit.select("id", "th", "span", (F.col("pos") - F.col("high")).alias("a"), (F.col("pos") - F.col("low") + F.col("span")).alias("b"))
 
 
 # --- the operator -------------------------------------------------------------------------------
 
 
-def repeated_spans(ws: Workspace, docs: DataFrame, span: int, gram: int, bucket: int) -> DataFrame:
-    """(id, th, a, b): byte spans whose union is everything covered by a repeated string of span bytes."""
-    own = ws.store(suffixes(docs, span, gram), "suffixes")
-    classes = ws.store(
-        own.groupBy("h", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("id", "th", "pos")).alias("rep")), "classes"
-    )
+def repeated_spans(ws: Workspace, docs: DataFrame, spans: tuple[int, ...], gram: int, bucket: int) -> DataFrame:
+    """(id, th, span, a, b): stretches whose union, for each span, is everything covered by a repeated string of span bytes."""
+    own = ws.store(suffixes(docs, spans, gram), "suffixes")
+    classes = own.groupBy("h", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("id", "th", "pos")).alias("rep"))
+    classes = ws.store(classes, "classes", large=True)
     # equal surroundings on both sides: every window around the suffix occurs twice
-    copies = own.join(classes.where("m > 1").select("h", "ctx"), ["h", "ctx"], "left_semi")
-    whole = copies.select("id", "th", F.greatest(F.col("pos") - (span - gram), F.lit(0)).alias("a"), (F.col("pos") + span).alias("b"))
-    groups = classes.groupBy("h").agg(F.count("*").alias("n_ctx")).where("n_ctx > 1")
-    wanted = classes.join(groups, "h").select("rep.*", "h", "n_ctx")
-    sizes = groups.select("h", (F.col("n_ctx") > bucket).alias("large"))
-    found = ws.store(contexts(docs, wanted.drop("n_ctx"), span, gram), "contexts")
-    large = ws.store(sizes.where("large").select("h"), "large")
-    if large.isEmpty():
-        partial = compare_buckets(found, span, gram)
-    else:
-        partial = compare_buckets(found.join(large, "h", "left_anti"), span, gram).union(
-            compare_windows(ws, found.join(large, "h", "left_semi"), span, gram)
-        )
-    return whole.union(partial)
+    copies = own.join(classes.where("m > 1").select("h", "ctx"), ["h", "ctx"], "left_semi").select("id", "th", "pos")
+    copies = ws.store(copies, "copies", large=True)
+    ws.drop(own)
+    groups = ws.store(classes.groupBy("h").agg(F.count("*").alias("n_ctx")).where("n_ctx > 1"), "groups", large=True)
+    wanted = ws.store(classes.join(groups, "h").select("rep.*", "h", "n_ctx"), "wanted", large=True)
+    ws.drop(classes, groups)
+
+    longest = max(spans)
+    few, many = (wanted.where(f"n_ctx {x} {bucket}").drop("n_ctx") for x in ("<=", ">"))
+    found = ws.store(compare_buckets(contexts(docs, few, longest, gram), spans, gram), "found", large=True)
+    if not many.isEmpty():
+        found = found.union(compare_windows(ws, contexts(docs, many, longest, gram), spans, gram))
+    whole = copies.withColumn("span", F.explode(F.array(*map(F.lit, spans)))).select(
+        "id", "th", "span", F.greatest(F.col("pos") - (F.col("span") - gram), F.lit(0)).alias("a"), (F.col("pos") + F.col("span")).alias("b")
+    )
+    return whole.union(found)
 
 
 def merge(pairs: np.ndarray, n: int) -> np.ndarray:
@@ -295,66 +306,90 @@ def merge(pairs: np.ndarray, n: int) -> np.ndarray:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, gram: int = 64, bucket: int = 1 << 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, gram: int = 64, bucket: int = 1 << 16,
+    passage_span: int | None = None, passage_words: int = 51,
 ) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept): the text's bytes without repeated strings.
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, kept, n_passages): the text's bytes without repeated strings.
 
     Texts are UTF-8 bytes; null counts as empty; texts shorter than span are kept whole. Matches never cross
-    documents; every occurrence goes, judged on the input. Repeated rows repeat each other. Other columns of
-    docs are ignored; an empty table gives an empty result. kept is binary, as a cut can fall inside a character.
+    documents; every occurrence goes, judged on the input. Repeated rows repeat each other; a null id is an id like
+    any other. Other columns of docs are ignored; an empty table gives an empty result. kept is binary, as a cut can
+    fall inside a character.
+
+    n_passages counts the passages of at least passage_words whole words that occur elsewhere too, many of which are
+    shorter than span: maximal runs covered by repeated strings of passage_span bytes. It removes nothing, and is 0
+    where passage_span is None.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
-    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, n_passages long"
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    spans = (span,) if passage_span is None else (span, passage_span)
 
-    def finish(part: pa.RecordBatch, raws: list[bytes], cuts: list, kept: list[bytes]) -> dict:
+    def finish(part: pa.RecordBatch, raws: list[bytes], runs: list[dict]) -> dict:
+        kept = [cut(raw, own[span]) for raw, own in zip(raws, runs, strict=True)]
+        passages = [0] * len(raws) if passage_span is None else [sum(whole_words(raw, a, b) >= passage_words for a, b in own[passage_span]) for raw, own in zip(raws, runs, strict=True)]
         return {
             "id": part.column("id"),
             "n_bytes": list(map(len, raws)),
             "n_removed": [len(a) - len(b) for a, b in zip(raws, kept, strict=True)],
-            "n_spans": list(map(len, cuts)),
+            "n_spans": [len(own[span]) for own in runs],
             "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept],
             "kept": kept,
+            "n_passages": passages,
         }
 
-    return _without_repeats(rows, span, gram, bucket, schema, finish).withColumnRenamed("id", id_col)
+    return _with_repeats(rows, spans, gram, bucket, schema, finish).withColumnRenamed("id", id_col)
 
 
 def cut_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, gram: int = 64, bucket: int = 1 << 16
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = 400, gram: int = 64, bucket: int = 1 << 16, least_words: int = 0
 ) -> DataFrame:
     """docs with repeated strings cut out of the text; columns and other values as in docs.
 
-    A character that a cut splits goes as a whole. Null texts stay null.
+    Maximal runs of fewer than least_words whole words stay. A character that a cut splits goes as a whole. Null texts
+    stay null.
     """
     others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != text_col))
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), others.alias("row"))
 
-    def finish(part: pa.RecordBatch, raws: list[bytes], cuts: list, kept: list[bytes]) -> dict:
+    def finish(part: pa.RecordBatch, raws: list[bytes], runs: list[dict]) -> dict:
         null = part.column("text").is_null().to_pylist()
+        kept = [cut(raw, [x for x in own[span] if whole_words(raw, *x) >= least_words]) for raw, own in zip(raws, runs, strict=True)]
         return {"row": part.column("row"), "text": [None if x else k.decode("utf-8", "ignore") for x, k in zip(null, kept, strict=True)]}
 
-    cut = _without_repeats(rows, span, gram, bucket, f"row {rows.schema['row'].dataType.simpleString()}, text string", finish)
-    return cut.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
+    out = _with_repeats(rows, (span,), gram, bucket, f"row {rows.schema['row'].dataType.simpleString()}, text string", finish)
+    return out.select(*(F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def cut(raw: bytes, runs: list) -> bytes:
+    """raw without its runs [a, b)."""
+    ends = [0, *(b for _, b in runs)]
+    return b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(raw)], strict=True))
+
+
+def whole_words(raw: bytes, a: int, b: int) -> int:
+    """Words (runs without ASCII white space) that lie in raw[a:b] as a whole."""
+
+    def inside(at: int) -> bool:
+        return 0 < at < len(raw) and not raw[at - 1 : at].isspace() and not raw[at : at + 1].isspace()
+
+    return max(0, len(raw[a:b].split()) - inside(a) - inside(b))
 
 
-def _without_repeats(rows: DataFrame, span: int, gram: int, bucket: int, schema: str, finish) -> DataFrame:
-    """Apply finish(batch, texts, cuts, kept texts) to the rows (id, text, ...) joined with their spans."""
+def _with_repeats(rows: DataFrame, spans: tuple[int, ...], gram: int, bucket: int, schema: str, finish) -> DataFrame:
+    """Apply finish(batch, texts, runs by span) to the rows (id, text, ...) joined with their spans."""
     ws = Workspace(rows.sparkSession, "suffix")
     keyed = rows.withColumn("th", F.xxhash64("text"))
-    spans = repeated_spans(ws, keyed.select("id", "th", "text"), span, gram, bucket)
-    lists = ws.store(spans.groupBy("id", "th").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    found = repeated_spans(ws, keyed.select("id", "th", "text"), spans, gram, bucket)
+    lists = ws.store(found.groupBy("id", "th").agg(F.collect_set(F.struct("span", "a", "b")).alias("spans")), "spans", large=True)
     ws.keep_only(lists)
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "text", 4 << 20):
-                raws, cuts, kept = as_bytes(part.column("text")), [], []
+                raws, runs = as_bytes(part.column("text")), []
                 for raw, own in zip(raws, part.column("spans").to_pylist(), strict=True):
-                    runs = merge(np.array([(x["a"], x["b"]) for x in own or ()], dtype=np.int64), len(raw)).tolist()
-                    ends = [0, *(b for _, b in runs)]
-                    kept.append(b"".join(raw[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(raw)], strict=True)))
-                    cuts.append(runs)
-                yield finish(part, raws, cuts, kept)
+                    runs.append({k: merge(np.array([(x["a"], x["b"]) for x in own or () if x["span"] == k], dtype=np.int64), len(raw)).tolist() for k in spans})
+                yield finish(part, raws, runs)
 
-    return map_arrow(keyed.join(lists, ["id", "th"], "left").drop("th"), schema, run)
+    return map_arrow(same_rows(keyed, lists, "left").drop("th"), schema, run)
