@@ -13,7 +13,10 @@ from termatlas.llm.simhash import keep_one
 from termatlas.llm.suffix_dedup import cut_repeats
 
 
+#: Repeated strings are sought from this length on, which 51 words of the corpus' languages exceed.
 PASSAGE_BYTES = 240
+#: Only runs of more than 50 words are passages; shorter ones stay.
+PASSAGE_WORDS = 51
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,11 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes of passages that repeat anywhere; n_chars follows.
-
-    PASSAGE_BYTES is under the length of 50 words in the corpus' languages.
-    """
-    return cut_repeats(docs, span=PASSAGE_BYTES, gram=48).withColumn("n_chars", F.length("text").cast("long"))
+    """Texts without the bytes of passages of over 50 words that repeat anywhere; n_chars follows."""
+    return cut_repeats(docs, span=PASSAGE_BYTES, gram=48, least_words=PASSAGE_WORDS).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
