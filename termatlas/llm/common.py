@@ -91,20 +91,28 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 class RecentCache(dict):
-    """A bounded dict in two generations: entries used again outlive the next sweep."""
+    """A dict of bounded size in two generations: entries used again outlive the next sweep.
 
-    def __init__(self, make: Callable, most: int):
+    `most` bounds the entries of a generation and, at 24 characters each on average, their keys' characters; keys of
+    over `longest` characters are never kept, so that long runs without spaces do not fill a worker's memory.
+    """
+
+    def __init__(self, make: Callable, most: int, longest: int = 64):
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.longest, self.old, self.held = make, most, longest, {}, 0
 
     def __missing__(self, key):
+        if len(key) > self.longest:
+            return self.make(key)
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         self[key] = value
-        if len(self) > self.most:
+        self.held += len(key)
+        if len(self) > self.most or self.held > 24 * self.most:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         return value
 
 

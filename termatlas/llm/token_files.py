@@ -6,7 +6,8 @@ document's ids start, and a fixed-size trailer:
 
     blocks | uint64 block offsets | int64 document ids | uint64 starts (documents + 1) | trailer
 
-The trailer is MAGIC, bits, ids in a block, and the numbers of blocks, documents and ids. Bits are filled from the
+The trailer is MAGIC, bits, ids in a block, and the numbers of blocks, documents, ids and documents without an id,
+which come first and have 0 in the list of document ids. Bits are filled from the
 lowest upwards, so 8, 16 and 32 bits are plain little-endian integers. Documents go to files by ranges of their id,
 and files are numbered in that order.
 """
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import RecentCache, Workspace, map_arrow, one_row_tasks, open_shared, slices
 
-MAGIC = b"TIDS"
-TRAILER = struct.Struct("<4sIQQQQ")
+MAGIC = b"TID2"
+TRAILER = struct.Struct("<4sIQQQQQ")
 BLOCK = 8192
 
 
@@ -61,10 +62,14 @@ class Writer:
     def __init__(self, out, bits: int, block: int = BLOCK):
         self.out, self.bits, self.block = out, bits, block
         self.held, self.n_held, self.at = [], 0, 0
-        self.offsets, self.docs, self.starts, self.n = [], [], [], 0
-
-    def add(self, doc: int, ids: np.ndarray) -> None:
-        self.docs.append(doc)
+        self.offsets, self.docs, self.starts, self.n, self.nulls = [], [], [], 0, 0
+
+    def add(self, doc: int | None, ids: np.ndarray) -> None:
+        if doc is None:
+            if self.nulls < len(self.docs):
+                raise ValueError("documents without an id come first")
+            self.nulls += 1
+        self.docs.append(doc or 0)
         self.starts.append(self.n)
         self.n += ids.size
         self.held.append(ids)
@@ -88,7 +93,7 @@ class Writer:
         self.out.write(np.array(self.offsets, dtype="<u8").tobytes())
         self.out.write(np.array(self.docs, dtype="<i8").tobytes())
         self.out.write(np.array([*self.starts, self.n], dtype="<u8").tobytes())
-        self.out.write(TRAILER.pack(MAGIC, self.bits, self.block, len(self.offsets), len(self.docs), self.n))
+        self.out.write(TRAILER.pack(MAGIC, self.bits, self.block, len(self.offsets), len(self.docs), self.n, self.nulls))
         self.out.close()
 
 
@@ -98,7 +103,7 @@ class Reader:
     def __init__(self, source):
         self.source = source
         size = source.size()
-        magic, self.bits, self.block, blocks, docs, self.n = TRAILER.unpack(self._at(size - TRAILER.size, TRAILER.size))
+        magic, self.bits, self.block, blocks, docs, self.n, self.nulls = TRAILER.unpack(self._at(size - TRAILER.size, TRAILER.size))
         if magic != MAGIC:
             raise ValueError("not a token file")
         at = size - TRAILER.size - 8 * (blocks + 2 * docs + 1)
@@ -199,7 +204,8 @@ def write_token_files(
 
     base is the number of ids in the files before. A file's name is its own attempt's, and only files that a
     finished task named are in the result, so a task may run again. Null texts count as empty (end id alone);
-    rows with equal ids stay next to each other; an empty table gives no files; other columns are ignored.
+    rows with equal ids stay next to each other; null ids come before all others and are read back as null; an empty
+    table gives no files; other columns are ignored.
     """
     folder = ws.child("token-files")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -245,7 +251,7 @@ def read_token_files(files: DataFrame, chunk: int = 1 << 20) -> DataFrame:
                         ids = r.ids(int(r.starts[i]), int(r.starts[j]))
                         edges = (r.starts[i : j + 1] - r.starts[i]).tolist()
                         yield {
-                            "id": pa.array(r.docs[i:j]),
+                            "id": pa.array(r.docs[i:j], mask=np.arange(i, j) < r.nulls),
                             "start": pa.array(r.starts[i:j] + base),
                             "n_tokens": pa.array(np.diff(r.starts[i : j + 1])),
                             "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(edges, edges[1:], strict=False)],
