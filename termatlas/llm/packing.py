@@ -16,13 +16,12 @@ from pyspark.sql import functions as F
 from .common import Workspace
 
 #: Words are runs of characters other than these.
-WORD = r"[^\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]++"
 
 
 def word_count(text: Column) -> Column:
-    """Words of a text; 0 for null."""
-    trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
+    """Words of a text; 0 for null. Every character is read once, whatever runs of spaces there are."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def length_step(length: Column, exact: int = 1024) -> Column:
@@ -72,7 +71,7 @@ def pack(
     length defaults to the words of the text (null and empty: 0), and token_budget is in the unit of length: words by
     default, tokens if length holds token counts; null lengths count as 0. A batch of a bucket holds
     max(1, token_budget // bucket_length) rows, at most token_budget rows where the length is 0; a text longer than
-    the budget has a batch of its own. Repeated ids stay rows of their own, ties go by id; an empty table gives an
+    the budget has a batch of its own. Repeated and null ids stay rows of their own, ties go by id; an empty table gives an
     empty result; other columns of docs are ignored.
     """
     spark = docs.sparkSession
@@ -99,7 +98,7 @@ def pack(
     placed = rows.withColumn("bucket", bucket).withColumn("bucket_length", limit)
 
     shards = max(1, -(-sum(r["n"] for r in histogram) // shard_rows))
-    placed = placed.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
+    placed = placed.withColumn("shard", F.pmod(F.xxhash64("id", "length"), F.lit(shards)).cast("int"))
     sizes = placed.groupBy("bucket", "shard").agg(F.count("*").alias("n"))
     # one row for each bucket and shard: a running total over rows / shard_rows numbers
     before = sizes.selectExpr(

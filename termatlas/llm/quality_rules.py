@@ -123,7 +123,7 @@ def with_votes(counts: DataFrame) -> DataFrame:
 def fit_rules(voted: DataFrame) -> dict:
     """The accuracies from all rows' vote patterns, of which there are at most 3 to the number of rules."""
     names = [c for c in voted.columns if c.startswith("v_")]
-    seen = voted.groupBy(*names).count().collect()
+    seen = sorted(voted.groupBy(*names).count().collect())  # so that sums do not depend on the order in which tasks end
     patterns = np.array([[r[k] for k in names] for r in seen], dtype=np.int64).reshape(len(seen), len(names))
     return fit_accuracies(patterns, np.array([r["count"] for r in seen], dtype=float)) | {"names": names}
 

@@ -185,8 +185,9 @@ def captures_of_pages(pages: DataFrame, id_col: str = "page_id", url_col: str =
     """Write pages as archives, read them back and describe each capture: (id, payload_bytes, payload_digest,
     record_type, refers_to, payload).
 
-    An empty table gives an empty result; a null id stays null; other columns are ignored. payload is what the
-    archive holds: null for revisits.
+    An empty table gives an empty result; a null id stays null and is always a response; other columns are ignored.
+    Record identifiers are made of ids: repeated rows share them and their description, and an id is expected to name
+    one payload. payload is what the archive holds: null for revisits.
     """
     kind = pages.select(id_col).schema[0].dataType.simpleString()
     ws = Workspace(pages.sparkSession, "warc")
