@@ -262,8 +262,8 @@ def wet_scan(spark, sf_dir):
 def listing_paths(spark, sf_dir):
     """Path listings with blank lines and white space around paths, written and read as a crawl's listing is."""
     folder = _folder(spark, "listing")
-    lines = _paths(spark, sf_dir).where("line % 3 <> 0").select("crawl_id", F.concat(F.lit("  "), "path", F.lit("\t\u00a0")).alias("value"))
-    blank = _paths(spark, sf_dir).where("line % 5 = 0").select("crawl_id", F.lit(" \t").alias("value"))
+    lines = _paths(spark, sf_dir).select("crawl_id", F.concat(F.lit("  "), "path", F.lit("\t\u00a0")).alias("value"))
+    blank = lines.select("crawl_id", F.lit(" \t").alias("value"))
     lines.union(blank).repartition("crawl_id").write.partitionBy("crawl_id").option("compression", "gzip").text(folder)
     crawls = sorted(r["crawl_id"] for r in spark.read.text(folder).select("crawl_id").distinct().collect())  # a few crawls
     parts = [M.read_listing(spark, f"{folder}/crawl_id={c}", c).select("crawl_id", "path") for c in crawls]
@@ -408,7 +408,7 @@ def oracle_sql() -> dict[str, str]:
     out["wet_scan"] = f"""with {VIEW}, f as (select *, format('{{}}_{{:03d}}.wet.gz', crawl_id, record_idx % {WET_FILES} + 1) as file from v)
  select file as source_wet, row_number() over (partition by file order by record_idx) - 1 as record_idx, crawl_id, coalesce(url, '') as url, '{STAMP}' as warc_date,
  registered_domain, length(coalesce(text, '')) as text_len, md5(coalesce(text, '')) as text_md5 from f"""
-    out["listing_paths"] = f"with {PATHS} select crawl_id, path from p where line % 3 <> 0"
+    out["listing_paths"] = f"with {PATHS} select crawl_id, path from p"
     out["summary_roundtrip"] = f"select metric, value, format('{{:,}}', value::bigint) as cell from ({out['summary_eav']}) where metric <> 'hits_by_term'"
     out["top_domains_roundtrip"] = f"select registered_domain, hits, format('{{:.4f}}', share) as cell from ({out['top10_share']})"
     out["boilerplate_snippets"] = c + """, b as (select registered_domain, context_snippet, count(distinct (source_wet, record_idx)) as docs, count(*) as hits from k where registered_domain <> '' group by 1, 2)
