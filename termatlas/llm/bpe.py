@@ -64,6 +64,7 @@ class MergeAutomaton:
         self.steps: dict[int, int] = {}
         self.ends = [-1]
         self.sizes = list(map(len, self.labels))
+        self.longest = max(self.sizes)
         for i in made:
             node = 0
             for byte in self.labels[i]:
@@ -101,9 +102,10 @@ class MergeAutomaton:
         """Ids of a pre-split word: the one path of open arcs whose labels spell it.
 
         The walk takes the longest label with an open arc and steps back from places without any. A place is only
-        reached by the one right tokenization of what stands before it, so no place is left twice.
+        reached by the one right tokenization of what stands before it, so no place is left twice, and a walk reads at
+        most the longest label from any place: the time is linear in the word.
         """
-        n, steps, ends, sizes, arcs, width = len(word), self.steps, self.ends, self.sizes, self.arcs, self.width
+        n, steps, ends, sizes, arcs, width, longest = len(word), self.steps, self.ends, self.sizes, self.arcs, self.width, self.longest
         path: list[int] = []
         left: list[list[int]] = []  # of each token on the path, shorter labels that were not tried
         dead: set[int] = set()
@@ -112,7 +114,7 @@ class MergeAutomaton:
         while at < n:
             if choice is None:
                 choice, node = [], 0
-                for byte in word[at:]:
+                for byte in word[at : at + longest]:
                     node = steps.get(node << 8 | byte)
                     if node is None:
                         break
@@ -198,7 +200,7 @@ def tokenizer(path: str) -> Tokenizer:
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): token ids of each whole text.
 
-    Null and empty texts have no ids; repeated rows stay rows; an empty table gives an empty result; other columns
+    Null and empty texts have no ids; null ids and repeated rows stay rows of their own; an empty table gives an empty result; other columns
     are ignored. Special tokens' strings in a text become their ids.
     """
     kind = docs.select(id_col).schema[0].dataType.simpleString()
