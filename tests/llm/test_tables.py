@@ -77,11 +77,25 @@ def test_bpe_rows(spark):
 def test_caches_stay_bounded():
     made = []
     c = RecentCache(lambda k: made.append(k) or k * 2, 10)
-    for k in [*range(100), 5, 99]:
+    for k in map(str, [*range(100), 5, 99]):
         assert c[k] == 2 * k
     assert len(c) + len(c.old) <= 22
 
 
+def test_long_words_are_not_kept():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, lib = bpe.tokenizer(path), tokenizers.Tokenizer.from_file(path)
+    word = "".join(random.Random(8).choice("abcdefghijklmnopqrstuvwxyzABCXYZ") for _ in range(400_000))
+    for t in (word, "ab" * 100_000, "-" * 100_000):
+        assert own.encode(t) == lib.encode(t, add_special_tokens=False).ids
+    for cache in (own.words, own.first, own.spaced):
+        assert max(map(len, [*cache, *cache.old]), default=0) <= cache.longest
+    c = RecentCache(lambda k: k, 100, longest=10)
+    for k in range(2000):
+        assert c[f"{k:0200d}"] == f"{k:0200d}" and c[f"{k}"] == f"{k}"
+    assert len(c) + len(c.old) <= 202
+
+
 def test_slices_bound_bytes():
     batch = pa.record_batch({"text": ["a" * 10, None, "b" * 50, "", "c" * 10]})
     parts = list(slices(batch, "text", 20))
@@ -129,6 +143,9 @@ def test_token_files_in_id_order(spark):
         at += len(ids)
     assert token_files.pack_round_trip(documents(spark).limit(0), path, end_id=2).count() == 0
     assert token_files.pack_round_trip(documents(spark, rows + rows), path, end_id=2).count() == 2 * len(rows)
+    null = rows[:5] + [(None, "no id"), (None, None)]
+    back = sorted(map(tuple, token_files.pack_round_trip(documents(spark, null), path, end_id=2).collect()), key=lambda r: r[1])
+    assert [r[0] for r in back] == [None, None, *sorted(i for i, _ in rows[:5])] and back[0][1] == 0 and [a[1] + a[2] for a in back[:-1]] == [b[1] for b in back[1:]]
     assert token_files.bits_for(49408) == 16 and token_files.bits_for(65537) == 17
 
 
@@ -179,6 +196,20 @@ def test_text_is_found_beside_furniture_and_links():
     assert html_extract.extract(f"<h1>Head</h1><p>{words}</p><div>small</div>", []) == f"Head\n{own}\nsmall"
     assert html_extract.extract("no tags at all", []) == "no tags at all"
     assert html_extract.extract("<nav>Home</nav><script>x</script>", []) == ""
+    for root in ('<html class="no-js menu-open"><body class="single-post has-sidebar">', "<html><body id=page-header>", '<body class="comments">'):
+        assert html_extract.extract(f"{root}<div class=sidebar>Side</div><article><p>{words}</p></article><footer>F</footer>", []) == own
+    menu = "<ul class=menu>" + "<li><a href=x>entry of a long menu</a>" * 80 + "</ul>"
+    assert html_extract.extract(f"<body>{menu}<div><p>short article</p></div>", []) == "short article"
+    assert html_extract.extract("<p>Hello world, this is text.</p>", []) == "Hello world, this is text."
+
+
+def test_deep_pages_take_linear_time():
+    n = 50_000
+    for page, text in (("<div>" * n + "deep" + "</div>" * n, "deep"), ("<p><table>" + "<b>" * n + "</p>" * n + "x", "x"), ("<i>" * n + "</u>" * n + "y", "y")):
+        paths = [p for p, _ in html_extract.votes(page)]
+        assert html_extract.extract(page, paths[-1:]) == text and max(map(len, paths)) < 1000
+    ends = [{p for p, _ in html_extract.votes("<div>" * k + "<div class=a>text</div>") if p.endswith("div.a")} for k in (60, 60, 61)]
+    assert ends[0] == ends[1] != ends[2] and all(map(len, ends))
 
 
 # --- op 6 ---------------------------------------------------------------------------------------

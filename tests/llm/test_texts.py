@@ -238,6 +238,19 @@ def test_similar_documents_are_verified(spark):
         assert all(got[i] >= want[i] for i in wrong) and len(wrong) <= len(rows) // 50, wrong  # none joined, few missed
 
 
+def test_copies_with_null_and_repeated_ids(spark):
+    """A repeated id's texts are judged apart; null ids give way to others and stay where there is no other."""
+    rng = random.Random(14)
+    a, b, c, d = (" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(80)) for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (None, b), (None, c), (None, c + " tail"), (7, d), (7, d), (8, "A " + d.upper())]
+    for t in (documents(spark, rows), documents(spark, rows[:0])):
+        kept = sorted(((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one(t).collect()))
+        assert kept == sorted([(3, a), (5, b), (0, c), (0, c + " tail"), (7, d), (7, d)] if t.count() else [])
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.similar_documents(documents(spark, rows)).collect()}
+    assert {(3, 3), (5, 3), (5, 5), (None, 5), (None, None), (7, 7), (8, 7)} == got
+    assert simhash.near_duplicates(documents(spark, rows)).where("kept is null").count() == 0
+
+
 def test_jaccard_forest_equals_brute_force():
     rng = random.Random(13)
     rows = [" ".join(rng.choice("ab") for _ in range(rng.randint(5, 40))) for _ in range(150)]
@@ -266,7 +279,7 @@ def brute_repeats(rows, span):
         b = (t or "").encode()
         for p in range(len(b) - span + 1):
             seen[b[p : p + span]] = seen.get(b[p : p + span], 0) + 1
-    out = {}
+    out = []
     for i, t in rows:
         b = (t or "").encode()
         cut = np.zeros(len(b) + 1, int)
@@ -277,8 +290,12 @@ def brute_repeats(rows, span):
         gone = np.cumsum(cut)[:-1] > 0
         kept = np.frombuffer(b, np.uint8)[~gone].tobytes()
         runs = int((np.diff(np.concatenate(([0], gone.astype(int)))) == 1).sum())
-        out[i] = (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
-    return out
+        out.append((i, len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def repeats_of(df):
+    return sorted((tuple(r) for r in df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()), key=str)
 
 
 def repeat_rows(seed):
@@ -287,21 +304,19 @@ def repeat_rows(seed):
     letters = lambda n: "".join(rng.choice("abcé") for _ in range(n))
     shared = letters(70)
     rows = [(i, letters(rng.randint(0, 60)) + shared[rng.randint(0, 30) : rng.randint(35, 70)] + letters(rng.randint(0, 60))) for i in range(40)]
-    return rows + [(50, "ab" * 100), (51, "a" * 90), (52, "a" * 41), (53, None), (54, ""), (55, letters(300) * 2), (56, shared), (57, shared)]
+    return rows + [(50, "ab" * 100), (51, "a" * 90), (52, "a" * 41), (53, None), (54, ""), (55, letters(300) * 2), (56, shared), (57, shared), (None, shared + letters(9)), (None, "é" * 30 + shared)]
 
 
 @pytest.mark.parametrize("seed, bucket", [(0, 1 << 16), (1, 1 << 16), (2, 4), (3, 1)])
 def test_repeats_equal_brute_force(spark, seed, bucket):
     rows = repeat_rows(seed)
-    got = suffix_dedup.remove_repeats(documents(spark, rows), span=40, gram=8, bucket=bucket).collect()
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(rows, 40)
+    assert repeats_of(suffix_dedup.remove_repeats(documents(spark, rows), span=40, gram=8, bucket=bucket)) == brute_repeats(rows, 40)
 
 
 def test_repeats_at_full_span(spark):
     rows = list(enumerate(texts()))
     docs = documents(spark, rows)
-    got = suffix_dedup.remove_repeats(docs).collect()
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == brute_repeats(rows, 400)
+    assert repeats_of(suffix_dedup.remove_repeats(docs)) == brute_repeats(rows, 400)
     cut = suffix_dedup.cut_repeats(docs)
     assert cut.columns == docs.columns and cut.where("text is null").count() == 1
     assert suffix_dedup.remove_repeats(docs.limit(0)).count() == 0
@@ -309,6 +324,33 @@ def test_repeats_at_full_span(spark):
     assert twice.count() == 2 * len(rows) and twice.where("n_bytes >= 400 and n_removed < n_bytes").count() == 0
 
 
+@pytest.mark.parametrize("bucket", [1 << 16, 2])
+def test_one_array_serves_two_spans(spark, bucket):
+    rows = repeat_rows(4)
+    both = suffix_dedup.remove_repeats(documents(spark, rows), span=60, gram=8, bucket=bucket, passage_span=40, passage_words=0).persist()
+    assert repeats_of(both) == brute_repeats(rows, 60)
+    want = {}
+    for i, _, _, n, _ in brute_repeats(rows, 40):
+        want.setdefault(i, []).append(n)
+    have = {}
+    for r in both.collect():
+        have.setdefault(r["doc_id"], []).append(r["n_passages"])
+    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_short_runs_stay(spark):
+    """Runs of fewer whole words than asked for are no passages."""
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    own = lambda n: " ".join(word() for _ in range(n))
+    long, short = own(51), own(50)
+    rows = [(i, f"{own(30)} {x} {own(30)}") for i, x in enumerate([long, long, short, short])] + [(4, long), (5, None)]
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.cut_repeats(documents(spark, rows), span=240, gram=48, least_words=51).collect()}
+    assert all(long not in got[i] and len(got[i].split()) in (60, 59) for i in (0, 1)) and got[4] == "" and got[5] is None
+    assert [got[2], got[3]] == [rows[2][1], rows[3][1]]
+    assert suffix_dedup.whole_words(b"ab cd ef", 1, 8) == 2 and suffix_dedup.whole_words(b"ab cd ef", 0, 5) == 2 and suffix_dedup.whole_words(b"abc", 1, 2) == 0
+
+
 def test_multikey_sort():
     rng = random.Random(5)
     strings = [bytes(rng.choice(b"\0ab") for _ in range(rng.randint(0, 30))) for _ in range(300)]
@@ -362,7 +404,7 @@ def test_base_spans_equal_pythons(spark):
         r = got[i]
         assert tuple(r[f"n_{k}"] for k in BASE) == tuple(map(len, spans.values())), t
         assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
-        assert set(filter(None, joined.split(","))) <= set(r["spans"].split(","))
+        assert set(filter(None, joined.split(","))) <= set(r["spans"].split(",")) and r["n_pii"] == len(list(filter(None, r["spans"].split(","))))
 
 
 def test_long_runs_of_digits(spark):
@@ -375,6 +417,20 @@ def test_long_runs_of_digits(spark):
     assert [got[i]["n_card"] for i in range(5)] == [0, 0, 0, 1, 1]
 
 
+def test_long_runs_of_every_alphabet(spark):
+    """A million characters that a pattern's loops run through, alone and before a match."""
+    n = 1_000_000
+    runs = ["1" * n, "a" * n, "a." * (n // 2), "1 " * (n // 2), "1-" * (n // 2), "+1" + " " * n, "+1" + "(" * n, "a@" + "b." * (n // 2), "a@" + "-" * n, "(at)" * (n // 4), " at " * (n // 4)]
+    runs += ["1." * 4000, "f:" * 4000]  # many matches: their lists are built by copying
+    rows = [(i, f"{x}\nx.y@z.org 10.1.2.3") for i, x in enumerate(runs)]
+    got = {r["doc_id"]: r for r in pii.pii_digest(documents(spark, rows)).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.redact_pii(documents(spark, rows)).collect()}
+    for i, x in enumerate(runs):
+        at = len(x) + 1
+        assert {f"email:{at}:{at + 9}", f"ip:{at + 10}:{at + 18}"} <= set(got[i]["spans"].split(",")), x[:20]
+        assert clean[i].endswith("<EMAIL> <IP>") and (len(clean[i]) > 500_000 or x[:20] in ("a@" + "b." * 9, "1." * 10, "f:" * 10))
+
+
 def test_boosted_candidates_add_spans(spark):
     model = pii.fitted(spark)
     assert model["accuracy"] > 0.95 and len(pii.examples()) == pii.EXAMPLES
@@ -441,4 +497,6 @@ def test_batches(spark):
 def test_length_steps(spark):
     rows = spark.range(1, 200000, 37).select(F.col("id").alias("n"), packing.length_step(F.col("id")).alias("s")).collect()
     assert all(r["n"] <= r["s"] <= max(r["n"], r["n"] * 66 / 64 + 1) and (r["n"] > 1024 or r["s"] == r["n"]) for r in rows)
+    odd = [" " * 1_000_000 + "a" + "\n" * 1_000_000, "x" * 5_000_000, "a " * 500_000, "a\x1cb\x85c"]
+    assert spark.createDataFrame([(t,) for t in odd], "t string").select(packing.word_count(F.col("t"))).collect() == [(1,), (1,), (500_000,), (1,)]
     assert spark.createDataFrame([(t,) for t in texts()], "t string").select(packing.word_count(F.col("t"))).collect() == [(len(WORD.findall(t or "")),) for t in texts()]
