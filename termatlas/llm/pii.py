@@ -260,15 +260,23 @@ def fitted(spark: SparkSession, precision: float = 0.98) -> dict:
 
 
 def _score_sql(model: dict) -> str:
-    sql = _feature_sql()
-    names = model["features"]
+    """SQL: the trees' sum over a candidate c whose features are c.f."""
     parts = [repr(model["base"])]
     for root, on, off in model["trees"]:
-        inner = [f"if({sql[names[f]]}, {a!r}D, {b!r}D)" for f, a, b in (on, off)]
-        parts.append(f"if({sql[names[root]]}, {inner[0]}, {inner[1]})")
+        inner = [f"if(c.f[{f}], {a!r}D, {b!r}D)" for f, a, b in (on, off)]
+        parts.append(f"if(c.f[{root}], {inner[0]}, {inner[1]})")
     return " + ".join(parts)
 
 
+def _chosen(kind: str, array: str, model: dict) -> str:
+    """SQL: the candidates of an array of spans that score above their kind's threshold; features are made once each."""
+    sql = _feature_sql()
+    features = ", ".join(sql[name] for name in model["features"])
+    featured = f"transform({_around(kind, array)}, c -> named_struct('s', c.s, 'e', c.e, 't', c.t, 'f', array({features})))"
+    chosen = f"filter({featured}, c -> {_score_sql(model)} >= {model['threshold'][kind]!r}D)"
+    return f"transform({chosen}, c -> named_struct('s', c.s, 'e', c.e, 't', c.t))"
+
+
 # --- the operator -------------------------------------------------------------------------------
 
 
@@ -279,8 +287,8 @@ def _digest(kinds_spans: dict[str, str]) -> str:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text, base_<kind>, all_<kind>): arrays of {s, e, t} in code points, end exclusive, by start.
 
-    Null counts as empty; empty texts have empty arrays; repeated rows give repeated results; an empty table an
-    empty one; other columns of docs are ignored. base_<kind> are the strict patterns' valid matches; all_<kind>
+    Null counts as empty; empty texts have empty arrays; null ids and repeated rows give results of their own; an empty
+    table gives an empty one; other columns of docs are ignored. base_<kind> are the strict patterns' valid matches; all_<kind>
     adds selected candidates that overlap none of them.
     """
     model = fitted(docs.sparkSession)
@@ -296,22 +304,23 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             df = df.withColumn(f"more_{k}", F.expr(f"cast(array() as {SPANS})"))
             continue
         free = f"filter(loose_{k}, x -> not exists(taken, b -> b.s < x.e and x.s < b.e))"
-        chosen = f"filter({_around(k, free)}, c -> {_score_sql(model)} >= {model['threshold'][k]!r}D)"
-        more = f"case when size(loose_{k}) = 0 then cast(array() as {SPANS}) else transform({chosen}, c -> named_struct('s', c.s, 'e', c.e, 't', c.t)) end"
+        more = f"case when size(loose_{k}) = 0 then cast(array() as {SPANS}) else {_chosen(k, free, model)} end"
         df = df.withColumn(f"more_{k}", F.expr(more))
     out = df.withColumns({f"all_{k}": F.expr(f"array_sort(concat(base_{k}, more_{k}))") for k in KINDS})
     return out.select(F.col("id").alias(id_col), "text", *(f"base_{k}" for k in KINDS), *(f"all_{k}" for k in KINDS))
 
 
 def pii_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and digests of find_pii."""
+    """Counts and digests of find_pii; n_pii counts all spans, those that the method adds included."""
     found = find_pii(docs, id_col, text_col)
+    every = sum((F.size(f"all_{k}") for k in KINDS[1:]), F.size(f"all_{KINDS[0]}"))
     base = F.array_join(F.expr(_digest({k: f"base_{k}" for k in KINDS})), ",")
     return found.select(
         id_col,
         *(F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(base.cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.expr(_digest({k: f"all_{k}" for k in KINDS})), ",").alias("spans"),
+        every.cast("long").alias("n_pii"),
     )
 
 
