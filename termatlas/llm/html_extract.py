@@ -12,6 +12,7 @@ import html as entities
 import re
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -43,13 +44,29 @@ UNWANTED = frozenset(
 WANTED = frozenset("article articles body content entry main post prose story text".split())
 
 
+#: Roots are never furniture: their classes describe the page ("menu-open", "has-sidebar").
+ROOTS = frozenset(("html", "body"))
+#: Elements that an end tag of another kind does not reach beyond.
+BARRIERS = frozenset(("article", "body", "main", "section", "table", "td"))
+#: Steps of a path that are written out; what stands above them is a digest.
+STEPS = 32
+
+
 class Node:
-    __slots__ = ("tag", "names", "parent", "good", "links", "left_out", "bare", "blocks")
+    """An element; parents come before their children in a page's list of nodes."""
+
+    __slots__ = ("tag", "names", "parent", "good", "links", "left_out", "unwanted", "bare", "depth", "path", "digest")
 
     def __init__(self, tag: str, names: tuple, parent):
         self.tag, self.names, self.parent = tag, names, parent
         self.good = self.links = self.left_out = 0
-        self.bare = tag in FURNITURE or bool(UNWANTED.intersection(names)) or (parent is not None and parent.bare)
+        self.unwanted = tag not in ROOTS and (tag in FURNITURE or bool(UNWANTED.intersection(names)))
+        self.bare = self.unwanted or (parent is not None and parent.bare)
+        self.depth = 0 if parent is None else parent.depth + 1
+        self.path = self.digest = None
+
+    def step(self) -> str:
+        return ".".join((self.tag, *sorted(self.names))) if self.names else self.tag
 
 
 def words_of(attributes: str) -> tuple:
@@ -60,30 +77,63 @@ def words_of(attributes: str) -> tuple:
     return tuple(dict.fromkeys(out))
 
 
-def path_of(node: Node) -> str:
-    steps = []
-    while node is not None and node.parent is not None:
-        steps.append(".".join((node.tag, *sorted(node.names))))
+def digest_of(node: Node) -> int:
+    """Digest of the steps from the page's root to the node, kept at every node on the way."""
+    way = []
+    while node.digest is None and node.parent is not None:
+        way.append(node)
         node = node.parent
-    return ">".join(reversed(steps))
+    digest = node.digest or 0
+    for n in reversed(way):
+        digest = n.digest = xxhash.xxh64_intdigest(n.step(), digest)
+    return digest
+
+
+def path_of(node: Node) -> str:
+    """The generalised tag-class path; deep ones have a digest in place of all but their last STEPS steps."""
+    if node.path is None:
+        if node.depth <= 1:
+            node.path = node.step() if node.depth else ""
+        elif node.depth <= STEPS:
+            node.path = f"{path_of(node.parent)}>{node.step()}"
+        else:
+            steps, n = [], node
+            while len(steps) < STEPS:
+                steps.append(n.step())
+                n = n.parent
+            node.path = ">".join((f"#{digest_of(n):016x}", *reversed(steps)))
+    return node.path
+
+
+class Stack:
+    """The open elements, with the places of each tag, so that an end tag finds its element at once."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def last(self, tag: str) -> int:
+        own = self.places.get(tag)
+        return own[-1] if own else 0
+
+    def end(self, tag: str, barriers: frozenset) -> None:
+        """Close the innermost element of the tag, and what is open inside it, unless a barrier stands between."""
+        at = self.last(tag)
+        if at and not any(self.last(b) > at for b in barriers):
+            for node in self.nodes[at:]:
+                self.places[node.tag].pop()
+            del self.nodes[at:]
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
-    """The page's elements and its stream of (element, text), text None at a block boundary."""
+    """The page's root and elements, and its stream of (element, text), text None at a block boundary."""
     root = Node("", (), None)
-    here, nodes, stream, at = root, [], [], 0
-
-    def end(tag: str, barriers: frozenset) -> None:
-        nonlocal here
-        n = here
-        while n.parent is not None and n.tag != tag:
-            if n.tag in barriers:
-                return
-            n = n.parent
-        if n.parent is not None:
-            here = n.parent
-
+    nodes, stream, at, open_ = [root], [], 0, Stack(root)
     for m in TOKEN.finditer(page):
+        here = open_.nodes[-1]
         if m.start() > at:
             stream.append((here, page[at : m.start()]))
         at = m.end()
@@ -96,18 +146,18 @@ def parse(page: str) -> tuple[list[Node], list[tuple[Node, str | None]]]:
         elif tag == "br":
             stream.append((here, " "))
         if m[2]:
-            end(tag, frozenset(("article", "body", "main", "section", "table", "td")) - {tag} if tag not in ("body", "html", "article", "main") else frozenset())
+            open_.end(tag, BARRIERS - {tag} if tag not in ("body", "html", "article", "main") else frozenset())
         else:
             if tag in BLOCK:
-                end("p", CONTAINER)
+                open_.end("p", CONTAINER)
             if tag == "li":
-                end("li", frozenset(("ul", "ol")))
-            node = Node(tag, words_of(m[4]) if m[4] else (), here)
+                open_.end("li", frozenset(("ul", "ol")))
+            node = Node(tag, words_of(m[4]) if m[4] else (), open_.nodes[-1])
             nodes.append(node)
             if tag not in VOID and not m[4].endswith("/"):
-                here = node
+                open_.push(node)
     if at < len(page):
-        stream.append((here, page[at:]))
+        stream.append((open_.nodes[-1], page[at:]))
     return nodes, stream
 
 
@@ -117,32 +167,30 @@ def score(nodes: list[Node], stream: list) -> list[tuple[float, Node]]:
     Furniture inside a container takes away half of its score at most; a container with more links than running text
     keeps a hundredth of its length. Text outside a body element belongs to the page's root.
     """
-    root = None
     for node, text in stream:
-        if not text:
-            continue
-        size = len(text.strip())
-        n, linked = node, False
-        while n is not None:
-            linked = linked or n.tag == "a"
+        if text:
+            size = len(text.strip())
             if node.bare:
-                n.left_out += size
-            elif linked:
-                n.links += size
+                node.left_out += size
             else:
-                n.good += size
-            root, n = n, n.parent
-    out = []
-    if root is not None and not any(n.tag == "body" and n.good + n.links for n in nodes):
-        nodes = [*nodes, root]
+                node.good += size
+    for n in reversed(nodes):  # children hand their sums to their parents
+        if n.tag == "a":
+            n.good, n.links = 0, n.good + n.links
+        if (up := n.parent) is not None:
+            up.good += n.good
+            up.links += n.links
+            up.left_out += n.left_out
+    root, out = nodes[0], []
+    whole = not any(n.tag == "body" and n.good + n.links for n in nodes)
     for n in nodes:
-        if (n.tag in CONTAINER or n is root) and not n.bare and n.good + n.links:
+        if (n.tag in CONTAINER or n is root and whole) and not n.bare and n.good + n.links:
             weight = 1.3 if n.tag in ("article", "main") else 0.9 if n.tag == "body" or n is root else 1.0
             if WANTED.intersection(n.names):
                 weight *= 1.2
             own = max(n.good - n.links, 0)
             out.append((weight * (max(own - n.left_out, own / 2) + (n.good + n.links) / 100), n))
-    out.sort(key=lambda x: -x[0])
+    out.sort(key=lambda x: (-x[0], x[1] is root))
     return out
 
 
@@ -165,7 +213,7 @@ def extract(page: str, paths: list[str]) -> str:
         return ""
     best, chosen = ranked[0][1].good + ranked[0][1].links, None
     own: dict[str, list[Node]] = {}
-    for _, n in ranked:
+    for _, n in ranked if paths else ():
         own.setdefault(path_of(n), []).append(n)
     for p in paths:
         if p in own and sum(n.good + n.links for n in own[p]) >= 0.25 * best:
@@ -180,27 +228,19 @@ def extract(page: str, paths: list[str]) -> str:
             blocks.append(line)
         block.clear()
 
-    inside: dict[int, bool] = {}
+    # (in a picked element, other furniture than headers between it and the node, a heading between them)
+    within: dict[int, tuple[bool, bool, bool]] = {}
+    for n in nodes:
+        found, spoiled, heading = within[id(n.parent)] if n.parent is not None else (False, False, False)
+        if id(n) in picked:
+            within[id(n)] = True, False, False
+        else:
+            within[id(n)] = found, spoiled or (n.tag != "header" and n.unwanted), heading or n.tag == "h1"
     for node, text in stream:
-        k = id(node)
-        if k not in inside:
-            n, found, heading = node, False, False
-            while n is not None and not found:
-                found = id(n) in picked
-                n = n.parent
-            kept = found and not node.bare
-            if found and node.bare:  # a heading in the container's own header is part of the article
-                n = node
-                while n is not None and id(n) not in picked:
-                    heading = heading or n.tag == "h1"
-                    if n.tag != "header" and (n.tag in FURNITURE or UNWANTED.intersection(n.names)):
-                        heading = False
-                        break
-                    n = n.parent
-            inside[k] = kept or heading
+        found, spoiled, heading = within[id(node)]
         if text is None:
             flush()
-        elif inside[k]:
+        elif found and (not node.bare or heading and not spoiled):  # a heading in the container's own header is part of the article
             block.append(text)
     flush()
     return "\n".join(blocks)
@@ -215,7 +255,9 @@ def main_text(
 ) -> DataFrame:
     """(id, url, text, n_chars) for each page.
 
-    Null and empty pages have empty text; pages with a null or odd url vote together under what host they have (the
+    Null and empty pages have empty text, and so have pages whose text is all in furniture; pages without tags or
+    without a body have what text they hold; the time is linear in a page, however deep its tags nest. Null and repeated
+    ids are rows like others; pages with a null or odd url vote together under what host they have (the
     empty one for none); repeated pages are rows of their own; ties between paths go to the first in order; an empty
     table gives an empty result; other columns are ignored.
     """
