@@ -1,9 +1,10 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from termatlas.config import ScanConfig, from_dict, term_patterns
+from termatlas.config import ScanConfig, from_dict, load, term_patterns
 from termatlas.functions import regex
 from termatlas.functions import text as T
 from termatlas.operators import aggregates as A
@@ -138,6 +139,21 @@ def test_config_needs_filters_and_terms():
     assert [p.label for p in c.patterns] == ["autism_patterns[0]", "asd_pattern"] and c.out_dir == "data/interim"
 
 
+def test_the_pilot_config():
+    c = load(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "configs", "pilot.yaml"))
+    assert (c.seed, c.files_per_crawl, c.min_chars, c.domain_cap, c.window) == (123, 2, 500, 50, 200) and len(c.crawl_ids) == 2
+    assert [p.source for p in c.patterns if p.ambiguous] == [r"\bASD\b"] and len(c.patterns) == 6
+    assert all(regex.to_java(p.source) for p in c.patterns)
+
+
+def test_summary_reads_texts_once(spark):
+    r = scan(corpus(spark, SF), CONFIG).stored()
+    plan = r.summary._jdf.queryExecution().executedPlan().toString()
+    assert "documents.parquet" not in plan and "text" not in r.docs.columns
+    assert {tuple(x) for x in r.summary.collect()} == {tuple(x) for x in scan(corpus(spark, SF), CONFIG).summary.collect()}
+    r.release()
+
+
 def test_filters_reach_the_scan_and_the_cap_prunes(spark):
     plan = scan(corpus(spark, SF), CONFIG).kept._jdf.queryExecution().executedPlan().toString()
     assert plan.count("RLIKE") <= len(CONFIG.patterns) + 1  # each pattern is sought once
