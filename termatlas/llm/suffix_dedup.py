@@ -229,7 +229,7 @@ def compare_buckets(rows: DataFrame, spans: tuple[int, ...], gram: int) -> DataF
                     "b": pos[hit] - low[hit] + span,
                 }
 
-    lead = F.substring("ahead", 1, 16)
+    lead = F.substring("ahead", 1, min(16, gram))
     dealt = rows.withColumn("lead", lead).repartitionByRange("lead", "h").sortWithinPartitions("lead", "h")
     return map_arrow(dealt.select("id", "th", "pos", "h", "back", "ahead"), f"id {kind}, th long, span int, a int, b int", run)
 
@@ -271,7 +271,10 @@ def compare_windows(ws: Workspace, rows: DataFrame, spans: tuple[int, ...], gram
 
 
 def repeated_spans(ws: Workspace, docs: DataFrame, spans: tuple[int, ...], gram: int, bucket: int) -> DataFrame:
-    """(id, th, span, a, b): stretches whose union, for each span, is everything covered by a repeated string of span bytes."""
+    """(id, th, span, a, b): stretches whose union, for each span, is everything covered by a repeated string of span bytes.
+
+    That holds for texts of span bytes or more: equal texts between two spans have stretches of the longer one as well.
+    """
     own = ws.store(suffixes(docs, spans, gram), "suffixes")
     classes = own.groupBy("h", "ctx").agg(F.count("*").alias("m"), F.min(F.struct("id", "th", "pos")).alias("rep"))
     classes = ws.store(classes, "classes", large=True)
@@ -389,7 +392,8 @@ def _with_repeats(rows: DataFrame, spans: tuple[int, ...], gram: int, bucket: in
             for part in slices(batch, "text", 4 << 20):
                 raws, runs = as_bytes(part.column("text")), []
                 for raw, own in zip(raws, part.column("spans").to_pylist(), strict=True):
-                    runs.append({k: merge(np.array([(x["a"], x["b"]) for x in own or () if x["span"] == k], dtype=np.int64), len(raw)).tolist() for k in spans})
+                    # a text shorter than a span holds no string of it, though it may be a copy that the shorter span sampled
+                    runs.append({k: merge(np.array([(x["a"], x["b"]) for x in own or () if x["span"] == k <= len(raw)], dtype=np.int64), len(raw)).tolist() for k in spans})
                 yield finish(part, raws, runs)
 
     return map_arrow(same_rows(keyed, lists, "left").drop("th"), schema, run)

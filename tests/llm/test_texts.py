@@ -338,6 +338,18 @@ def test_one_array_serves_two_spans(spark, bucket):
     assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
 
 
+def test_copies_between_two_spans_are_kept(spark):
+    """Copies shorter than the span are no repeats of it, though the passages' shorter span finds them."""
+    rng = random.Random(16)
+    own = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    texts = [own(n) for n in (239, 240, 281, 399, 400, 401)]
+    rows = [(i, t) for i, t in enumerate(texts + texts + [own(30) + texts[3] + own(30)])]
+    got = suffix_dedup.remove_repeats(documents(spark, rows), gram=48, passage_span=240, passage_words=0).persist()
+    assert repeats_of(got) == brute_repeats(rows, 400)
+    assert {r["doc_id"]: r["n_removed"] for r in got.collect()} == {i: len(t) if len(t) in (400, 401) else 0 for i, t in rows}
+    assert {r["doc_id"]: r["n_passages"] for r in got.collect()} == {i: int(len(t) > 239) for i, t in rows}
+
+
 def test_short_runs_stay(spark):
     """Runs of fewer whole words than asked for are no passages."""
     rng = random.Random(15)
