@@ -1,17 +1,18 @@
-"""Embedding near-duplicates, exact in labels of bounded size and by sorted projection passes in larger ones.
-
-Up to `exact` rows, all pairs of a label are compared, block against block. In larger labels a pass orders the vectors
-lexicographically by a concatenation of random hyperplane bits and compares each with a bounded window of those behind
-it; pairs found with enough cosine are united across passes. Each pass measures, for each row, how many leading bits a
-partner has to share to lie within the window for sure, however dense the row's surroundings are, and credits the row
-with the chance of that at the threshold. Passes go on while that is cheaper; rows whose credits leave a pair a chance
-above `miss` to be missed are then compared with their whole label. This only connects groups: links are counted
-exactly inside each connected group, block against block, so that a group of any size keeps all its links.
+"""Embedding near-duplicates by sorted projection passes, and an exact check of what they leave apart.
+
+A pass orders the vectors of each label lexicographically by a concatenation of random hyperplane bits and compares
+each with a bounded window of those behind it; pairs found with enough cosine are united across passes. The check
+follows for labels of any size: it compares the found groups of a label, file against file. A group's first vector and
+the distance of its farthest member bound what its members can link with, so that only groups which may link are
+compared in full, and no link is missed however dense or large a label is. Labels that lie within the window as a
+whole have been compared by a pass already. Links are then counted inside each connected group, block against block,
+so that a group of any size keeps all its links.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +20,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, forest, key_change, map_arrow, runs_by_key
+from .common import Workspace, connected_components, forest, key_change, map_arrow, open_shared, runs_by_key
 
 BITS = 64
+HEAD = 16
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -43,7 +45,7 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def passes_needed(rows: int, window: int, threshold: float, miss: float) -> int:
-    """Passes for a miss of at most `miss` if each bit halves a label's rows; denser labels are seen by row_depths."""
+    """Passes for a miss of at most `miss` before the exact check, if each bit halves a label's rows."""
     angle = math.acos(threshold) / math.pi
     bits = max(0.0, math.log2(max(rows, 1) / window)) + 1
     meet = (1 - angle) ** bits
@@ -82,17 +84,13 @@ def row_depths(grp: np.ndarray, sig: np.ndarray, window: int) -> np.ndarray:
 
 
 def some_passes(ws: Workspace, classes: DataFrame, numbers: list[int], window: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) of some orderings, sorted in one shuffle, and gains (id, grp, gain) of their rows.
-
-    A gain is the logarithm, in millionths, by which the chance of missing a pair of the row at the threshold falls.
+    """Links (u, v) of some orderings, sorted in one shuffle, and counts (grp, number, settled) of the rows of a label
+    that have been compared with all of it.
 
     Tasks slide over their rows and hold a window of them; the ends of neighbouring partitions are compared too.
     """
     vector = classes.schema["v"].dataType.simpleString()
     none = pa.list_(pa.float32() if "float" in vector else pa.float64())
-    meet_at = (1 - math.acos(threshold) / math.pi) ** np.arange(BITS + 2)
-    meet_at[-1] = 0
-    gain_at = (-1e6 * np.log1p(-np.minimum(meet_at, 1 - 1e-12))).astype(np.int64)
 
     def apart(number):
         return (np.asarray(number).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
@@ -121,24 +119,21 @@ def some_passes(ws: Workspace, classes: DataFrame, numbers: list[int], window: i
         n, ids = t.num_rows, t.column("id").to_numpy()
         return {"u": ids, "v": ids, "edge": np.full(n, edge), "place": np.arange(n) + place, "grp": t.column("grp").to_numpy(), "x": t.column("v").combine_chunks()}
 
-    def credit(t: pa.Table, a: int, b: int, gain: np.ndarray) -> dict:
-        number = t.column("number").to_numpy()[a:b]
-        n = number.size
-        return {
-            "u": t.column("id").to_numpy()[a:b], "v": gain, "edge": np.full(n, -2), "place": number,
-            "grp": t.column("grp").to_numpy()[a:b] ^ apart(number), "x": pa.nulls(n, none),
-        }
+    def settled(t: pa.Table, rows: np.ndarray) -> dict:
+        number = t.column("number").to_numpy()[rows]
+        grp = t.column("grp").to_numpy()[rows] ^ apart(number)
+        return {"u": number, "v": number, "edge": np.full(rows.size, -2), "place": number, "grp": grp, "x": pa.nulls(rows.size, none)}
 
     def slide(batches):
         here, held, seen, w = TaskContext.get().partitionId(), None, None, window + 1
         for batch in batches:
             for at in range(0, batch.num_rows, 1 << 13):
                 new = pa.Table.from_batches([batch.slice(at, 1 << 13)])
-                bare = new.select(["id", "number", "grp", "sig"])
+                bare = new.select(["number", "grp", "sig"])
                 seen = bare if seen is None else pa.concat_tables([seen, bare]).combine_chunks()
-                if seen.num_rows > 2 * w:  # rows at a partition's ends get no credit
+                if seen.num_rows > 2 * w:  # rows at a partition's ends are left to the exact check
                     depth = row_depths(seen.column("grp").to_numpy(), seen.column("sig").to_numpy(), window)
-                    yield credit(seen, w, seen.num_rows - w, gain_at[depth])
+                    yield settled(seen, w + np.flatnonzero(depth == 0))
                     seen = seen.slice(seen.num_rows - 2 * w)
                 if held is None:
                     yield ends(new.slice(0, window), here - 1, window)
@@ -164,11 +159,10 @@ def some_passes(ws: Workspace, classes: DataFrame, numbers: list[int], window: i
     border = found.where("edge >= 0").repartition("edge").sortWithinPartitions("edge", "place")
     links = found.where("edge = -1 and x is null").select("u", "v").union(map_arrow(border, "u long, v long", meet))
     links = ws.store(links, "links")
-    # classes of a label that repeat an id count as the worst of them
-    gains = found.where("edge = -2").groupBy(F.col("u").alias("id"), "grp", "place").agg(F.min("v").alias("gain"))
-    gains = ws.store(gains.groupBy("id", "grp").agg(F.sum("gain").alias("gain")), "gains")
+    done = found.where("edge = -2").groupBy("grp", F.col("place").alias("number")).agg(F.count("*").alias("settled"))
+    done = ws.store(done, "settled", large=True)
     ws.drop(found)
-    return links, gains
+    return links, done
 
 
 def _same_size(lists: pa.Array):
@@ -183,78 +177,177 @@ def _same_size(lists: pa.Array):
 def enough_passes(
     ws: Workspace, classes: DataFrame, sizes: DataFrame, window: int, threshold: float, miss: float, at_once: int
 ) -> tuple[DataFrame, DataFrame]:
-    """Links (u, v) of passes over labels of sizes (grp, n), and the rows (id, grp) whose gains fall short of `miss`.
-
-    Gains have to reach twice the logarithm of `miss`, since a pass that brings few rows near a row is also likelier to
-    part its pairs. A pair compared in a block costs about a sixteenth of one compared in a pass; passes end once comparing the short
-    rows with their labels is cheaper than the next ones, or at three times the number that halving bits would need.
-    """
-    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
-    links = gains = None
-    done, last = 0, 3 * passes_needed(most, window, threshold, miss)
-    while True:
-        found, gained = some_passes(ws, classes, list(range(done, done + at_once)), window, threshold)
-        done += at_once
-        links = found if links is None else links.union(found)
-        if gains is not None:
-            before, own = gains, gained
-            gained = ws.store(before.union(own).groupBy("id", "grp").agg(F.sum("gain").alias("gain")), "gains")
-            ws.drop(before, own)
-        gains = gained
-        short = classes.select("id", "grp").join(gains, ["id", "grp"], "left").where(F.coalesce("gain", F.lit(0)) < -2e6 * math.log(miss))
-        short = ws.store(short.select("id", "grp").distinct(), "short")
-        work = short.groupBy("grp").agg(F.count("*").alias("s")).join(sizes, "grp").agg(F.sum(F.col("s").cast("double") * F.col("n"))).first()[0] or 0
-        if work <= 16 * total * window * at_once or done >= last:
-            return links, short
-        ws.drop(short)
-
-
-def all_pairs(rows: DataFrame, block: int) -> DataFrame:
-    """Tasks that compare all rows (id, grp, n, v) of a label; a label has four blocks at most."""
-    return (
-        rows.withColumn("blocks", F.least(F.ceil(F.col("n") / block), F.lit(4)).cast("int"))
-        .withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("long"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("grp", (F.least("own", "other") * (1 << 31) + F.greatest("own", "other")).alias("task"), "id", F.lit(True).alias("short"), "v")
-    )
-
-
-def pairs_of_short(ws: Workspace, rows: DataFrame, short: DataFrame, block: int) -> DataFrame:
-    """Tasks that compare the short rows (id, grp) with all rows (id, grp, n, v) of their labels."""
-    counts = ws.store(short.groupBy("grp").agg(F.count("*").alias("s")), "short-sizes")
-    parts, tasks = F.ceil(F.col("s") / block).cast("int"), F.ceil(F.col("n") / (4 * block)).cast("int")
-    rows = rows.join(counts, "grp").withColumns({"lefts": parts, "rights": tasks, "h": F.xxhash64("id")})
-    left = rows.join(short, ["id", "grp"], "left_semi").withColumns({"l": F.pmod("h", F.col("lefts")), "r": F.explode(F.sequence(F.lit(0), F.col("rights") - 1))})
-    right = rows.withColumns({"r": F.pmod("h", F.col("rights")), "l": F.explode(F.sequence(F.lit(0), F.col("lefts") - 1))})
-    names = ["grp", (F.col("l").cast("long") * (1 << 31) + F.col("r")).alias("task"), "id"]
-    return left.select(*names, F.lit(True).alias("short"), "v").union(right.select(*names, F.lit(False), "v"))
-
+    """Links (u, v) of passes over labels of sizes (grp, n), and the labels (grp) of which one pass has compared all pairs."""
+    passes = passes_needed(sizes.agg(F.max("n")).first()[0] or 0, window, threshold, miss)
+    links = settled = None
+    for number in range(0, passes, at_once):
+        found, done = some_passes(ws, classes, list(range(number, min(number + at_once, passes))), window, threshold)
+        links, settled = (found, done) if links is None else (links.union(found), settled.union(done))
+    whole = settled.join(sizes, "grp").where("settled = n").select("grp").distinct()
+    return links, ws.store(whole, "whole")
+
+
+def write_groups(ws: Workspace, rows: DataFrame, most: int) -> DataFrame:
+    """(path, lo, hi): files of at most `most` rows (id, grp, c, v) in the order of grp and c, and their end labels."""
+    folder = ws.child("groups")
+    values = 1 << 22
+
+    def write(batches):
+        held, n = [], 0
+
+        def flush():
+            t = pa.Table.from_batches(held).combine_chunks()
+            fs, path = open_shared(f"{folder}/{uuid.uuid4().hex}.arrow")
+            fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
+            with fs.open_output_stream(path) as f, pa.ipc.new_stream(f, t.schema) as w:
+                w.write_table(t)
+            return {"path": [f"{folder}/{path.rsplit('/', 1)[1]}"], "lo": [t.column("grp")[0].as_py()], "hi": [t.column("grp")[-1].as_py()]}
 
-def exact_links(dealt: DataFrame, threshold: float) -> DataFrame:
-    """Links (u, v) that join rows (grp, task, id, short, v) as all pairs of a task do of which one row is short.
-
-    A spanning forest leaves each task.
+        for batch in batches:
+            while batch.num_rows:
+                longest = max(1, int(np.diff(batch.column("v").offsets.to_numpy()).max()))
+                room = max(1, min(most, values // longest)) - n
+                if room <= 0:
+                    yield flush()
+                    held, n = [], 0
+                    continue
+                held.append(batch.slice(0, room))
+                n += held[-1].num_rows
+                batch = batch.slice(room)
+        if n:
+            yield flush()
+
+    ordered = rows.select("grp", "c", "id", "v").repartitionByRange("grp", "c", "id").sortWithinPartitions("grp", "c", "id")
+    return ws.store(map_arrow(ordered, "path string, lo long, hi long", write), "files", large=True)
+
+
+class Groups:
+    """The groups of a label in a file: their first vectors, the distance of the farthest member, bounds for a screen."""
+
+    def __init__(self, t: pa.Table, threshold: float):
+        c = t.column("c").to_numpy()
+        self.x = matrix(t.column("v").combine_chunks())
+        self.at = np.concatenate(([0], np.flatnonzero(c[1:] != c[:-1]) + 1))
+        self.size = np.diff(np.append(self.at, len(c)))
+        self.c, self.id, self.lead = c[self.at], t.column("id").to_numpy()[self.at], self.x[self.at]
+        apart = self.x - np.repeat(self.lead, self.size, axis=0)
+        r = np.maximum.reduceat(np.sqrt((apart * apart).sum(axis=1)), self.at)
+        # members link only if lead * lead' + r r' + f(r) + f(r') reaches the threshold; a dot product is at most that
+        # of the heads and the product of the tails' lengths
+        f = math.sqrt(2 - 2 * threshold) * r + r * r / 2
+        head = self.lead[:, :HEAD]
+        tail = np.sqrt(np.maximum(0, 1 - (head * head).sum(axis=1)))
+        one = np.ones_like(r)
+        self.bound = [np.column_stack((v, r, *x)) for v in (np.column_stack((head, tail)), self.lead) for x in ((f, one), (one, f))]
+        self.screen = [x.astype(np.float32) for x in self.bound[:2]]
+
+    def rows(self, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the groups' members, and the group of each."""
+        size = self.size[groups]
+        first = np.repeat(self.at[groups] - np.concatenate(([0], np.cumsum(size)[:-1])), size)
+        return first + np.arange(size.sum()), np.repeat(groups, size)
+
+
+def linked_to(group: np.ndarray, other: Groups, candidates: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of the candidate groups that have a member linked to one of the vectors."""
+    at, owner = other.rows(candidates)
+    hit = np.zeros(at.size, dtype=bool)
+    step = 1 << 11
+    for r in range(0, at.size, step):
+        y = other.x[at[r : r + step]].T
+        for q in range(0, len(group), step):
+            hit[r : r + step] |= (group[q : q + step] @ y >= threshold).any(axis=0)
+    return np.unique(owner[hit])
+
+
+def group_links(a: Groups, b: Groups, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the links between groups of a and of b (which may be a), as the ids of their first members."""
+    same, na, slack = a is b, a.at.size, 1e-4
+    ids = a.id if same else np.concatenate((a.id, b.id))
+    shift = 0 if same else na
+    comp = np.arange(ids.size)
+    for p in range(0, na, 1024):
+        for q in range(p if same else 0, b.at.size, 8192):
+            near = a.screen[0][p : p + 1024] @ b.screen[1][q : q + 8192].T >= threshold - slack
+            some = np.count_nonzero(near)
+            if some > near.size // 50:
+                near = a.bound[2][p : p + 1024] @ b.bound[3][q : q + 8192].T >= threshold - 1e-9
+            i, j = np.nonzero(near)
+            i, j = i + p, j + q
+            keep = (a.c[i] != b.c[j]) & (comp[i] != comp[j + shift])
+            i, j = i[keep], j[keep]
+            us, vs = [], []
+            for r in range(0, i.size, 1 << 16):
+                x, y = i[r : r + (1 << 16)], j[r : r + (1 << 16)]
+                full = (a.bound[2][x] * b.bound[3][y]).sum(axis=1) >= threshold - 1e-9
+                x, y = x[full], y[full]
+                alone = (a.size[x] == 1) & (b.size[y] == 1)
+                us.append(x[alone])
+                vs.append(y[alone])
+                fit = (a.lead[us[-1]] * b.lead[vs[-1]]).sum(axis=1) >= threshold
+                us[-1], vs[-1] = us[-1][fit], vs[-1][fit]
+                wide = a.size[x] > 1
+                for g in np.unique(x[wide]):
+                    hit = linked_to(a.x[a.at[g] : a.at[g] + a.size[g]], b, y[x == g], threshold)
+                    us.append(np.full(hit.size, g))
+                    vs.append(hit)
+                x, y = x[~wide & ~alone], y[~wide & ~alone]
+                for g in np.unique(y):
+                    hit = linked_to(b.x[b.at[g] : b.at[g] + b.size[g]], a, x[y == g], threshold)
+                    us.append(hit)
+                    vs.append(np.full(hit.size, g))
+            if us:
+                u, v = np.concatenate(us), np.concatenate(vs) + shift
+                child = np.flatnonzero(comp != np.arange(comp.size))
+                comp = forest(comp.size, np.concatenate((u, child)), np.concatenate((v, comp[child])))
+    child = np.flatnonzero(comp != np.arange(comp.size))
+    return ids[child], ids[comp[child]]
+
+
+def exact_check(ws: Workspace, rows: DataFrame, threshold: float, most: int) -> DataFrame:
+    """Links (u, v) that join the groups c of rows (id, grp, c, v) as all links within labels do.
+
+    Files of one order share a label only at their ends: pairs of files meet in tasks that read both.
     """
+    files = write_groups(ws, rows, most)
+    ends = files.select("path", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("g"))
+    both = ends.join(ends.select(F.col("path").alias("right"), "g"), "g").where("path < right").select("path", "right", "g")
+    alone = files.select("path", F.col("path").alias("right"), F.lit(None).cast("long").alias("g"))
+    pairs = ws.store(both.union(alone), "pairs")
+    tasks = max(1, min(pairs.count(), 4 * files.count()))
+
+    def load(uri):
+        fs, path = open_shared(uri)
+        with fs.open_input_stream(path) as f, pa.ipc.open_stream(f) as r:
+            return r.read_all().combine_chunks()
+
+    def label(t: pa.Table, g: int) -> pa.Table:
+        at = np.flatnonzero(t.column("grp").to_numpy() == g)
+        return t.slice(int(at[0]), at.size)
 
     def compare(batches):
-        for t in runs_by_key(batches, ["grp", "task"], 1 << 12):
-            cuts = [0, *key_change(t, ["grp", "task"]).tolist(), t.num_rows]
-            ids, short, v = t.column("id").to_numpy(), t.column("short").to_numpy(), t.column("v").combine_chunks()
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                left = np.flatnonzero(short[a:b])
-                if not left.size:
-                    continue
-                x, comp = matrix(v.slice(a, b - a)), np.arange(b - a)
-                for r in range(0, left.size, 256):
-                    i, j = np.nonzero(x[left[r : r + 256]] @ x.T >= threshold)
-                    i = left[r + i]
-                    new = np.flatnonzero(comp[i] != comp[j])
-                    child = np.flatnonzero(comp != np.arange(b - a))
-                    comp = forest(b - a, np.concatenate((i[new], child)), np.concatenate((j[new], comp[child])))
-                child = np.flatnonzero(comp != np.arange(b - a))
-                yield {"u": ids[a:b][child], "v": ids[a:b][comp[child]]}
+        left = path = left_of = groups = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["path"] != path:
+                    path, left, left_of = row["path"], load(row["path"]), None
+                if row["g"] is None:
+                    cuts = [0, *key_change(left, ["grp"]).tolist(), left.num_rows]
+                    found = []
+                    for x, y in zip(cuts, cuts[1:], strict=False):
+                        if y - x > 1:
+                            own = Groups(left.slice(x, y - x), threshold)
+                            found.append(group_links(own, own, threshold))
+                else:
+                    if left_of != row["g"]:
+                        left_of, groups = row["g"], Groups(label(left, row["g"]), threshold)
+                    found = [group_links(groups, Groups(label(load(row["right"]), row["g"]), threshold), threshold)]
+                if found:
+                    u, v = zip(*found, strict=True)
+                    yield {"u": np.concatenate(u), "v": np.concatenate(v)}
 
-    return map_arrow(dealt.repartition("grp", "task").sortWithinPartitions("grp", "task"), "u long, v long", compare)
+    dealt = pairs.repartitionByRange(tasks, "path", "right").sortWithinPartitions("path", "right")
+    return ws.store(map_arrow(dealt, "u long, v long", compare), "missed")
 
 
 def count_links(ws: Workspace, members: DataFrame, sizes: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -302,7 +395,8 @@ def near_duplicates(
 
     Vectors link if their labels are equal and not null and their cosine in doubles is at least threshold; vectors
     that are null, zero or hold null or non-finite parts link with nothing, nor do vectors of different lengths.
-    Equal vectors of a label form one class, whose copies all link. Rows that repeat an id have the largest count
+    The passes' number follows from `miss`; files of the check that follows hold up to `exact` rows. Neither changes
+    the result. Equal vectors of a label form one class, whose copies all link. Rows that repeat an id have the largest count
     and smallest component of them; an empty table gives an empty result; other columns are ignored.
     """
     ws = Workspace(vectors.sparkSession, "embeddings")
@@ -310,15 +404,14 @@ def near_duplicates(
     same = ["grp", "h1", "h2"]
     classes = ws.store(rows.groupBy(*same).agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("v").alias("v")), "classes")
     sizes = ws.store(classes.groupBy("grp").agg(F.count("*").alias("n")), "sizes")
-    large = sizes.where(F.col("n") > exact)
-
-    sized = classes.select("id", "grp", "v").join(sizes, "grp")
-    links = exact_links(all_pairs(sized.where(F.col("n") <= exact), block), threshold)
-    if not large.isEmpty():
-        rows_of = classes.join(large.select("grp"), "grp", "left_semi")
-        found, short = enough_passes(ws, rows_of, large, window, threshold, miss, at_once)
-        links = links.union(found).union(exact_links(pairs_of_short(ws, sized, short, block), threshold))
+
+    links, whole = enough_passes(ws, classes, sizes, window, threshold, miss, at_once)
     joined = ws.store(connected_components(ws, links), "components")
+    open_rows = classes.join(whole, "grp", "left_anti").join(joined, F.col("id") == F.col("node"), "left")
+    missed = exact_check(ws, open_rows.select("id", "grp", F.coalesce("component", "id").alias("c"), "v"), threshold, exact)
+    if not missed.isEmpty():
+        known = joined.where("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+        joined = ws.store(connected_components(ws, known.union(missed)), "components")
 
     members = joined.join(classes, F.col("node") == F.col("id")).select("component", "id", "m", "v")
     linked = count_links(ws, members, joined.groupBy("component").agg(F.count("*").alias("n")), threshold, block)

@@ -301,6 +301,35 @@ def test_concentrated_label(spark, exact):
     assert all(got[5000 + i] == (0, 5000 + i) for i in range(200))
 
 
+def test_no_size_switches_the_result(spark):
+    """Pairs just above the threshold, which few passes bring together, in labels larger and smaller than a file."""
+    rng = np.random.default_rng(9)
+    x, z = rng.standard_normal((2, 250, 64))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.935 * x + (1 - 0.935**2) ** 0.5 * z / np.sqrt((z * z).sum(axis=1, keepdims=True))
+    rows = [(i, v, 0 if i % 250 < 200 else 1) for i, v in enumerate(np.concatenate((x, y)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedding_dedup.near_duplicates(df, window=4, miss=0.5, exact=150)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got.collect()} == {i: (1, i % 250) for i in range(500)}
+
+
+def test_group_links_equal_brute_force():
+    """Groups of one and of many rows, within a file and between two, in full and in few dimensions."""
+    for seed, dim, spread in ((0, 64, 0.02), (1, 24, 0.05), (2, 5, 0.15), (3, 3, 0.3)):
+        rng = np.random.default_rng(seed)
+        x = np.repeat(rng.standard_normal((60, dim)), 5, axis=0) + spread * rng.standard_normal((300, dim))
+        c = np.sort(np.where(rng.random(300) < 0.5, np.arange(300), np.arange(300) // 7 * 7))
+        t = pa.table({"id": np.arange(300), "c": c, "v": pa.array(x.tolist())})
+        unit = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+        u, v = np.nonzero(unit @ unit.T >= 0.93)
+        a, b = (embedding_dedup.Groups(t.slice(i, n), 0.93) for i, n in ((0, 170), (170, 130)))
+        found = [embedding_dedup.group_links(*g, 0.93) for g in ((a, a), (b, b), (a, b))]
+        first = np.searchsorted(c, c)
+        have = forest(300, *(np.concatenate([np.arange(300) if k == 0 else first, *(f[k] for f in found)]) for k in (0, 1)))
+        assert have.tolist() == forest(300, np.concatenate((u, np.arange(300))), np.concatenate((v, first))).tolist()
+
+
 def test_depths_bound_the_window():
     rng = np.random.default_rng(6)
     grp = np.sort(rng.integers(0, 3, 400))
